@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import ngram_similarity
-from ..runtime import table
+from ..runtime import table, table_state
 
 CLUSTER_SIZE, FIRST, LAST = 21, 2, 10  # the ranks that a walk looks at
 MOST = 2_000_000
+ONE_TASK = 1_000_000
 
 
 def neighbour_lists(knn: DataFrame, ids: DataFrame) -> DataFrame:
@@ -27,23 +28,44 @@ def neighbour_lists(knn: DataFrame, ids: DataFrame) -> DataFrame:
     return ids.select("id").join(near, "id", "left").select("id", F.coalesce(F.transform("s", lambda x: x["n"]), F.array().cast("array<bigint>")).alias("near"))
 
 
+def _union_find(t):
+    """Edges (u, v) to (node, smallest node of its component)."""
+    nodes, flat = np.unique(np.concatenate([np.asarray(t.column("u")), np.asarray(t.column("v"))]), return_inverse=True)
+    root = list(range(len(nodes)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    half = len(flat) // 2
+    for a, b in zip(flat[:half].tolist(), flat[half:].tolist()):
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return pa.table([pa.array(nodes), pa.array(nodes[[find(i) for i in range(len(nodes))]])], names=["u", "v"])
+
+
 def components(near: DataFrame) -> DataFrame:
     """(id, component): the smallest id that can be reached over neighbour edges in either direction.
 
     Alternating large and small stars; rounds grow with the logarithm of the longest path, and no component is ever
-    collected."""
+    collected. Up to ONE_TASK edges, a bounded table, one task joins them by union-find instead."""
     edges = near.select("id", F.explode("near").alias("n")).where("id <> n").select(F.greatest("id", "n").alias("u"), F.least("id", "n").alias("v")).distinct()
     edges = table(edges, "edges")
+    now = table_state(edges)
+    if now[0] <= ONE_TASK:
+        found = edges.groupBy(F.lit(0).alias("_all")).applyInArrow(_union_find, "u bigint, v bigint")
+        return near.select("id").join(found.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        new = table(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
-        changed = new.join(edges, ["u", "v"], "left_anti").limit(1).count() or edges.join(new, ["u", "v"], "left_anti").limit(1).count()
-        edges = new
-        if not changed:
+        edges = table(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        before, now = now, table_state(edges)
+        if now == before:
             break
     return near.select("id").join(edges.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
@@ -102,7 +124,7 @@ def clusters(knn: DataFrame, ids: DataFrame, merged: bool = False, size: int = C
     rows = near.join(small.unionByName(large), "id")
     first = ids.agg(F.min("id")).first()[0]
 
-    def run(_, t: pa.Table) -> pa.Table:
+    def run(_key, t):
         t = t.sort_by("id")
         values = np.asarray(t.column("id"))
         lists = t.column("near").to_pylist()
@@ -122,11 +144,11 @@ def numbered(walked: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     return walked.join(dense_ranks(seeds, "seed", "cluster_id"), "seed").select("cluster_id", "pos", "id")
 
 
-def dense_ranks(keys: DataFrame, key: str, name: str, parts: int = 64) -> DataFrame:
+def dense_ranks(keys: DataFrame, key: str, name: str) -> DataFrame:
     """(key, name): the place of each distinct key in ascending order, from 0, by range partitions and their counts."""
-    ranged = table(keys.repartitionByRange(parts, key).withColumn("_part", F.spark_partition_id()), "ranged")
+    ranged = table(keys.repartitionByRange(key).withColumn("_part", F.spark_partition_id()), "ranged")
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # at most ``parts`` rows
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row per shuffle partition
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(key))
     return ranged.withColumn("_r", inside).join(F.broadcast(before.select("_part", "_before")), "_part").select(key, (F.col("_r") - 1 + F.col("_before")).cast("bigint").alias(name))
 

@@ -71,7 +71,7 @@ _FOLD = f"""{_NEAR}, sel AS (SELECT path_id, qa_ord FROM (SELECT *, row_number()
       steps AS (SELECT l.path_id, l.qa_ord, l.type, l.step, o.question, o.answer FROM (
           SELECT path_id, qa_ord, 'intra_doc' AS type, unnest(indoc) AS other, generate_subscripts(indoc, 1) AS step FROM near JOIN sel USING (path_id, qa_ord)
           UNION ALL SELECT path_id, qa_ord, 'inter_doc', unnest(xd), generate_subscripts(xd, 1) FROM near JOIN sel USING (path_id, qa_ord)) l
-        JOIN rows o ON o.path_id = l.path_id AND o.qa_ord = l.other WHERE coalesce(o.answer, '') <> ''),
+        JOIN rows o ON o.path_id = l.path_id AND o.qa_ord = l.other WHERE coalesce(o.answer, '') <> '' AND o.answer NOT LIKE '%}}%'),
       hops AS MATERIALIZED (SELECT s.path_id, s.qa_ord, s.type, CAST(row_number() OVER w + 1 AS INTEGER) AS hop, coalesce(r.question, '') || ' / ' || string_agg(coalesce(s.question, ''), ' / ') OVER w AS question, s.answer
         FROM steps s JOIN rows r ON r.path_id = s.path_id AND r.qa_ord = s.qa_ord WINDOW w AS (PARTITION BY s.path_id, s.qa_ord, s.type ORDER BY s.step))"""
 

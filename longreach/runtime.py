@@ -13,8 +13,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN_DIR: str | None = None
+_WRITTEN: list[str] = []
 
 
 def session(app: str = "longreach", cores: str | int = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -41,7 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.partition("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _OWN_DIR is None:
         _OWN_DIR = tempfile.mkdtemp(prefix="longreach-")
@@ -57,9 +59,26 @@ def table(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def table_state(df: DataFrame) -> tuple[int, int]:
+    """Number of rows and a checksum of them that doesn't depend on their order."""
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64(*df.columns)), F.lit(0)).alias("x")).first()
+    return row["n"], row["x"]
+
+
+def drop_tables(spark: SparkSession) -> int:
+    """Deletes what ``table`` has written in this process; call it when no result that reads from it is needed."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    dropped = 0
+    while _WRITTEN:
+        path = hadoop.Path(_WRITTEN.pop())
+        dropped += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return dropped
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's parquet tables."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

@@ -171,8 +171,9 @@ def graph(seed, n=90):
     return {i: rnd.sample([j for j in range(n) if group[j] == group[i] and j != i], rnd.randint(0, 6)) for i in range(n)}
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_walk_and_merge_equal_one_sequential_run(spark, seed):
+@pytest.mark.parametrize("seed, one_task", [(1, 10**6), (2, 10**6), (3, 0)])
+def test_walk_and_merge_equal_one_sequential_run(spark, seed, one_task, monkeypatch):
+    monkeypatch.setattr(paths, "ONE_TASK", one_task)
     near = graph(seed)
     edges = [(q, r + 2, n) for q, ns in near.items() for r, n in enumerate(ns)] + [(q, 1, q) for q in near] + [(q, 11, 0) for q in near]
     df = spark.createDataFrame(edges, "q bigint, rank int, n bigint")
