@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..runtime import table
+from ..runtime import table, table_state
 from .text import code_points, map_arrow
 
-BANDS, ROWS, TILE = 64, 7, 256
+BANDS, ROWS, TILE, SALTED = 64, 7, 256, 10_000
 _SPACE = re.compile(r"[ \t\r\n]+")
 
 
@@ -271,9 +271,14 @@ def similar_pairs(records: DataFrame, threshold: float = 0.7, n: int = 5) -> Dat
     copies = members.where("n_members > 1")
     within = tiled_pairs(copies, ["tbl", "rep"], "rec", "n_members").select("tbl", "rec_a", "rec_b")
 
+    salts = F.ceil(F.col("n_members") / SALTED).cast("int")
+
     def spread(df: DataFrame, side: str) -> DataFrame:
-        own = copies.select("tbl", F.col("rep").alias(side), F.col("rec").alias(f"_{side}"))
-        return df.join(own, ["tbl", side], "left").withColumn(side, F.coalesce(f"_{side}", side)).drop(f"_{side}")
+        """Every member of a class instead of its representative; large classes are joined in parts of about SALTED."""
+        own = copies.select("tbl", F.col("rep").alias(side), F.col("rec").alias(f"_{side}"), F.pmod(F.xxhash64("rec"), salts).cast("int").alias("_salt"))
+        parts = copies.where("rec = rep").select("tbl", F.col("rep").alias(side), salts.alias("_parts"))
+        salted = df.join(parts, ["tbl", side], "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
+        return salted.join(own, ["tbl", side, "_salt"], "left").withColumn(side, F.coalesce(f"_{side}", side)).drop(f"_{side}", "_salt", "_parts")
 
     across = spread(spread(links.select("tbl", "rec_a", "rec_b"), "rec_a"), "rec_b")
     across = across.select("tbl", F.least("rec_a", "rec_b").alias("rec_a"), F.greatest("rec_a", "rec_b").alias("rec_b"))
@@ -284,17 +289,17 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """(tbl, rec, root): the smallest record of each node's connected component, by alternating large and small
     stars; the number of rounds grows with the logarithm of the longest path, and no star is collected."""
     edges = table(links.select("tbl", F.greatest("rec_a", "rec_b").alias("u"), F.least("rec_a", "rec_b").alias("v")).distinct(), "edges")
-    while True:
+    now = table_state(edges)
+    while now[0]:
         both = edges.unionByName(edges.select("tbl", F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("tbl", "u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, ["tbl", "u"]).where("v > u").select("tbl", F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("tbl", "u").agg(F.min("v").alias("m"))
         small = large.join(low, ["tbl", "u"])
         small = small.where("v <> m").select("tbl", F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("tbl", "u", F.col("m").alias("v")))
-        new = table(small.where("u <> v").distinct(), "edges")
-        moved = new.join(edges, ["tbl", "u", "v"], "left_anti").limit(1).count() + edges.join(new, ["tbl", "u", "v"], "left_anti").limit(1).count()
-        edges = new
-        if not moved:
+        edges = table(small.where("u <> v").distinct(), "edges")
+        before, now = now, table_state(edges)
+        if now == before:
             break
     return nodes.join(edges.select("tbl", F.col("u").alias("rec"), F.col("v").alias("root")), ["tbl", "rec"], "left").withColumn("root", F.coalesce("root", "rec"))
 
