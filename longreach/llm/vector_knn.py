@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 from ..runtime import table
 from .text import map_arrow
 
-SUB, CENTRES, BLOCK = 4, 16, 4096
+SUB, CENTRES, BLOCK, SALTED = 4, 16, 4096, 10_000
 
 
 @dataclass(frozen=True)
@@ -226,7 +226,7 @@ def knn(vectors: DataFrame, k: int = 10, d: int = 64, nprobe: int = 32, queries:
     units = table(unit_vectors(vectors, d), "units").withColumn("_h1", F.xxhash64("unit")).withColumn("_h2", F.xxhash64(F.lit(1), "unit"))
     classes = units.groupBy("_h1", "_h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"))
     repeated = table(classes.where("size > 1"), "repeated")
-    copies = table(units.select("id", "_h1", "_h2").join(repeated, ["_h1", "_h2"]).select("id", "rep"), "copies")
+    copies = table(units.select("id", "_h1", "_h2").join(repeated, ["_h1", "_h2"]).select("id", "rep", "size"), "copies")
     reps = units.select("id", "unit").join(copies.where("id <> rep").select("id"), "id", "left_anti")
     n = reps.count()
     if not n:
@@ -262,26 +262,27 @@ def knn(vectors: DataFrame, k: int = 10, d: int = 64, nprobe: int = 32, queries:
     key = ["list", "xb", "qb"]
     asked = asked.select(F.col("id").alias("qid"), F.col("unit").alias("qunit"), *(F.col(c).alias(f"q{c}") for c in key))
     found = base.groupBy(*key).cogroup(asked.groupBy(*(f"q{c}" for c in key))).applyInArrow(search, "q bigint, n bigint, score double")
-    return _with_copies(found, copies, reps, k, queries)
+    return _with_copies(found, copies, k, queries)
 
 
-def _with_copies(found: DataFrame, copies: DataFrame, reps: DataFrame, k: int, queries: str | None) -> DataFrame:
-    """From the neighbours of classes to those of vectors. Of any class, its first k + 1 ids can be neighbours."""
+def _with_copies(found: DataFrame, copies: DataFrame, k: int, queries: str | None) -> DataFrame:
+    """From the neighbours of classes to those of vectors. Of any class, its first k + 1 ids can be neighbours, and the
+    members of a class of more than k have no others. Large classes are joined in parts of about SALTED members."""
     found = table(found, "found")
-    first = copies.withColumn("_r", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("_r") <= k + 1).drop("_r")
-    first = table(first, "first")
+    w = Window.partitionBy("rep").orderBy("id")
+    first = table(copies.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k + 1).select("rep", "id", "size"), "first")
     best = Window.partitionBy("q").orderBy(F.desc("score"), "n")
     near = found.join(first.select(F.col("rep").alias("n"), F.col("id").alias("_n")), "n", "left").select("q", F.coalesce("_n", "n").alias("n"), "score")
     near = near.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
-    own = copies.select(F.col("rep").alias("q"), F.col("id").alias("_q"))
-    if queries is not None:
-        own = own.join(copies.where(queries).select(F.col("id").alias("_q")), "_q", "left_semi")
-        near = near.join(copies.select(F.col("rep").alias("q")).distinct(), "q", "left_anti").unionByName(near.join(own, "q").select(F.col("_q").alias("q"), "n", "score"))
-    else:
-        near = near.join(own, "q", "left").select(F.coalesce("_q", "q").alias("q"), "n", "score")
-    same = own.join(first.select(F.col("rep").alias("q"), F.col("id").alias("n")), "q").where("_q <> n").select(F.col("_q").alias("q"), "n", F.lit(1.0).alias("score"))
-    both = near.where("q <> n").unionByName(same)
-    return both.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
+    asked = copies if queries is None else copies.where(queries)
+    small = asked.where(F.col("size") <= k).select(F.col("rep").alias("q"), F.col("id").alias("_q"))
+    alone = near.join(copies.select(F.col("rep").alias("q")).distinct(), "q", "left_anti")
+    near = alone.unionByName(near.join(small, "q").select(F.col("_q").alias("q"), "n", "score"))
+    salts = F.ceil(F.col("size") / SALTED).cast("int")
+    own = asked.select("rep", F.col("id").alias("q"), F.pmod(F.xxhash64("id"), salts).cast("int").alias("_salt"))
+    other = first.select("rep", F.col("id").alias("n"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt"))
+    same = own.join(other, ["rep", "_salt"]).where("q <> n").select("q", "n", F.lit(1.0).alias("score"))
+    return near.where("q <> n").unionByName(same).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
 
 
 def mutual_pairs(vectors: DataFrame, k: int = 10, floor: float = 0.87, nprobe: int = 8, **options: object) -> DataFrame:
