@@ -122,21 +122,31 @@ def shared_run(doc: str, item: str, d: int, i: int, window: int) -> tuple[int, i
     return d - left, left + right
 
 
-def within_edits(a: str, b: str, most: int) -> bool:
-    """Whether ``a`` turns into some prefix of ``b`` by at most ``most`` edits (banded)."""
+def prefix_edits(a: str, b: str, most: int) -> list[int]:
+    """For each prefix of ``a``, the fewest edits to some prefix of ``b``; ``most`` + 1 stands for more (banded)."""
     big = most + 1
-    row = {j: j for j in range(most + 1)}
+    row = {j: j for j in range(min(most, len(b)) + 1)}
+    out = [0]
     for i, c in enumerate(a, 1):
-        new = {}
+        new: dict[int, int] = {}
         for j in range(max(0, i - most), min(len(b), i + most) + 1):
             best = row.get(j, big) + 1
             if j:
                 best = min(best, new.get(j - 1, big) + 1, row.get(j - 1, big) + (b[j - 1] != c))
             new[j] = best
         row = new
-        if not row or min(row.values()) > most:
-            return False
-    return min(row.values(), default=big) <= most
+        out.append(min(big, min(row.values(), default=big)))
+        if out[-1] > most:
+            return out + [big] * (len(a) - i)
+    return out
+
+
+def within_edits(doc: str, item: str, d: int, i: int, run: int, most: int) -> bool:
+    """Whether some stretch of ``run`` characters of the item around place i, with place i facing place d of the
+    document, turns into text of the document by at most ``most`` edits."""
+    right = prefix_edits(item[i : i + run], doc[d : d + run + most], most)
+    left = prefix_edits(item[max(0, i - run) : i][::-1], doc[max(0, d - run - most) : d][::-1], most)
+    return any(left[run - n] + right[n] <= most for n in range(max(0, run - len(left) + 1), len(right)))
 
 
 def _matches(docs: list[str], block: Block) -> list[tuple[int, int, int]]:
@@ -172,13 +182,8 @@ def _matches(docs: list[str], block: Block) -> list[tuple[int, int, int]]:
                 if block.edits:
                     if found.get((k, text)):
                         continue
-                    back = min(i, (block.run - w) // 2)
-                    piece = item[i - back : i - back + block.run]
-                    for shift in range(-block.edits, block.edits + 1):
-                        at = d - back + shift
-                        if 0 <= at and len(piece) == block.run and within_edits(piece, doc[at : at + block.run + block.edits], block.edits):
-                            found[k, text] = block.run
-                            break
+                    if within_edits(doc, item, d, i, block.run, block.edits):
+                        found[k, text] = block.run
                     continue
                 if doc[d : d + w] != item[i : i + w]:
                     continue

@@ -104,7 +104,7 @@ def test_packing_a_table(spark):
     assert max(fill.values()) <= 128
     assert {r["doc_id"] for r in rows} == {*range(400), 1002, 1003}
     assert {r["doc_id"] for r in packing.split_documents(got).collect()} == {1002}
-    assert packing.usage(got, 128).first()["share_used"] > 0.9
+    assert packing.usage(packing.pack(docs, rates, 128), 128).first()["share_used"] > 0.9
     assert sorted(map(tuple, packing.pack(docs.repartition(7), rates, 128, group=100).collect())) == sorted(map(tuple, rows))
     assert packing.pack(docs.limit(0), rates, 128).count() == 0
 
@@ -143,6 +143,28 @@ def test_leaks_equal_brute_force(spark):
     assert edited >= want
 
 
+def test_within_edits():
+    rnd = random.Random(9)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            row, old = [i], row
+            for j, e in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (c != e)))
+        return row[-1]
+
+    for _ in range(300):
+        item, doc = ("".join(rnd.choice("ab") for _ in range(rnd.randint(8, 14))) for _ in range(2))
+        i, d, run, most = rnd.randrange(len(item)), rnd.randrange(len(doc)), 6, 2
+        want = False
+        for s in range(max(0, i - run), min(i, len(item) - run) + 1):
+            left, right = item[s:i], item[i : s + run]
+            cost = min(distance(left, doc[x:d]) for x in range(d + 1)) + min(distance(right, doc[d:y]) for y in range(d, len(doc) + 1))
+            want |= cost <= most
+        assert leakage.within_edits(doc, item, d, i, run, most) == want
+
+
 def test_leaks_with_edits_reach_recall(spark):
     rnd = random.Random(5)
     text = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300))
@@ -212,7 +234,8 @@ WHOLE = "The Trust bought its timber from merchants of Ylllobest. So the supplie
     "question, answer, kind",
     [
         (Q, None, "empty"), (Q, "", "empty"), (Q, " \t\n", "empty"), (Q, "N/A", "empty"), (Q, "Final answer:", "empty"), (ZQ, "答案：", "empty"), (ZQ, "……", "empty"), (Q, "None.", "empty"),
-        (Q, Q, "copy"), (Q, f"You asked: {Q}", "copy"), (Q, f"{Q}\n\n{Q}", "copy"), (f"Question: {Q}", Q.lower(), "copy"), (ZQ, "您问的是：" + ZQ, "copy"), (Q, f"{Q} {WHOLE}", None),
+        (Q, Q, "copy"), (Q, f"You asked: {Q}", "copy"), (Q, f"{Q}\n\n{Q}", "copy"), (f"Question: {Q}", Q.lower(), "copy"), (ZQ, "您问的是：" + ZQ, "copy"), (Q, f"{Q} {WHOLE}", None), (Q, f"{Q} Ylllobest", None), (Q, "Which town the timber used by the Hardurin Trust?", "copy"),
+        ("1758年盐场归菲诺里岛委员会还是托格亚岛委员会所有？", "1758年盐场归菲诺里岛委员会还是托格亚岛委员会所有？1758年的契约写明盐场的主人是托格亚岛委员会，菲诺里岛委员会只是租户。因此归托格亚岛委员会所有。", None),
         (Q, "I'm sorry, but I don't know.", "refusal"), (Q, "Regrettably, no answer can be given on the basis of this text. Could you rephrase the question?", "refusal"), (ZQ, "抱歉，我无法回答这个问题，请换一个问题。", "refusal"),
         (Q, "Sorry for the long chain of steps; " + WHOLE, None), (ZQ, "具体日期无法确定，但其余内容很清楚。文章提到，造纸厂开办于1735年。因此答案是1735年。", None),
         (Q, "Es war Kellos Sabnepharia, der das Gebäude im Jahr 1469 wieder aufbauen ließ.", "wrong_language"), (ZQ, WHOLE, "wrong_language"), (Q, "第一段只提到地面使用丝线。1940年的账单补充说，屋顶用的是橄榄油。", "wrong_language"),
