@@ -142,7 +142,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT tbl, type, language, domain, count(*) AS n_rows, CAST(sum({_tokens("text")}) AS BIGINT) AS n_tokens
             FROM {_RATED.format("t", "language")} GROUP BY ALL""",
         "p4_found": """
-            WITH v AS (SELECT doc_ord, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM corpus_vectors WHERE embedding IS NOT NULL AND list_inner_product(embedding, embedding) > 0),
+            WITH v AS MATERIALIZED (SELECT doc_ord, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM corpus_vectors WHERE embedding IS NOT NULL AND list_sum(list_transform(embedding, lambda x: x * x)) > 0),
             s AS (SELECT a.doc_ord AS a, b.doc_ord AS b, list_cosine_similarity(a.e, b.e) AS c FROM v a, v b WHERE a.doc_ord <> b.doc_ord),
             r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(c, 6) DESC, b) AS k FROM s WHERE c >= 0.87)
             SELECT DISTINCT least(a, b) AS doc_ord_a, greatest(a, b) AS doc_ord_b FROM r WHERE k <= 10""",

@@ -122,31 +122,37 @@ def shared_run(doc: str, item: str, d: int, i: int, window: int) -> tuple[int, i
     return d - left, left + right
 
 
-def prefix_edits(a: str, b: str, most: int) -> list[int]:
-    """For each prefix of ``a``, the fewest edits to some prefix of ``b``; ``most`` + 1 stands for more (banded)."""
-    big = most + 1
-    row = {j: j for j in range(min(most, len(b)) + 1)}
-    out = [0]
-    for i, c in enumerate(a, 1):
-        new: dict[int, int] = {}
-        for j in range(max(0, i - most), min(len(b), i + most) + 1):
-            best = row.get(j, big) + 1
-            if j:
-                best = min(best, new.get(j - 1, big) + 1, row.get(j - 1, big) + (b[j - 1] != c))
-            new[j] = best
-        row = new
-        out.append(min(big, min(row.values(), default=big)))
-        if out[-1] > most:
-            return out + [big] * (len(a) - i)
+def furthest(a: str, b: str, most: int) -> list[int]:
+    """For 0..most edits, the length of the longest prefix of ``a`` that turns into some prefix of ``b``; by furthest
+    points on diagonals."""
+    n, m = len(a), len(b)
+    reached: dict[int, int] = {0: 0}
+    out = []
+    for e in range(most + 1):
+        if e:
+            new: dict[int, int] = {}
+            for k in range(-e, e + 1):
+                i = max(reached.get(k, -2) + 1, reached.get(k + 1, -2) + 1, reached.get(k - 1, -2))
+                i = min(i, n, m - k)
+                if i >= 0 and i + k >= 0:
+                    new[k] = i
+            reached = new
+        for k, i in reached.items():
+            while i < n and i + k < m and a[i] == b[i + k]:
+                i += 1
+            reached[k] = i
+        out.append(max(reached.values()))
+        if out[-1] == n:
+            return out + [n] * (most - e)
     return out
 
 
 def within_edits(doc: str, item: str, d: int, i: int, run: int, most: int) -> bool:
     """Whether some stretch of ``run`` characters of the item around place i, with place i facing place d of the
     document, turns into text of the document by at most ``most`` edits."""
-    right = prefix_edits(item[i : i + run], doc[d : d + run + most], most)
-    left = prefix_edits(item[max(0, i - run) : i][::-1], doc[max(0, d - run - most) : d][::-1], most)
-    return any(left[run - n] + right[n] <= most for n in range(max(0, run - len(left) + 1), len(right)))
+    right = furthest(item[i : i + run], doc[d : d + run + most], most)
+    left = furthest(item[max(0, i - run) : i][::-1], doc[max(0, d - run - most) : d][::-1], most)
+    return any(left[e] + right[most - e] >= run for e in range(most + 1))
 
 
 def _matches(docs: list[str], block: Block) -> list[tuple[int, int, int]]:
@@ -180,8 +186,10 @@ def _matches(docs: list[str], block: Block) -> list[tuple[int, int, int]]:
                 text, i = int(place) >> 32, int(place) & 0xFFFFFFFF
                 item = block.texts[text]
                 if block.edits:
-                    if found.get((k, text)):
+                    mark = (k, text, 0, i - d)
+                    if (k, text) in found or mark in seen:
                         continue
+                    seen.add(mark)
                     if within_edits(doc, item, d, i, block.run, block.edits):
                         found[k, text] = block.run
                     continue
