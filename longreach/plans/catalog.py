@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import language_model as lm
 from ..functions import text as X
-from ..operators import context, datasets, ivf, knn, paths, qa
+from ..operators import context, datasets, evaluate, ivf, knn, paths, qa
 from ..runtime import read
 from ..sources import files
 from ..streaming import incremental
@@ -184,6 +184,18 @@ def ivf_pq_search(spark: SparkSession, d: str) -> DataFrame:
     return ivf.search(_asked(v), ivf.encode(v, index, config), index, nprobe=8, k=K, vectors=v).withColumn("dist", F.round("dist", 6))
 
 
+@query
+def knn_nprobe_sweep(spark: SparkSession, d: str) -> DataFrame:
+    v = _vectors(spark, d)
+    return evaluate.nprobe_sweep(_asked(v), v, knn.label_centroids(v, "label", 64), [1, 2, 4, 8], K).where(F.col("i") == K)
+
+
+@query
+def vector_transform(spark: SparkSession, d: str) -> DataFrame:
+    turned = evaluate.linear_transform(_corpus_vectors(spark, d), evaluate.hadamard(64, 8))
+    return turned.select("id", F.posexplode("v").alias("dim", "x")).groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("x").cast("double")), 3).alias("total"))
+
+
 @query
 def embed_corpus(spark: SparkSession, d: str) -> DataFrame:
     return lm.embed(read(spark, d, "custom_text_corpus"), "doc_ord", "content").select("doc_ord", F.size("embedding").alias("d"))

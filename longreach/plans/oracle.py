@@ -132,6 +132,11 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 'unknown_neighbour', count(*) FROM ivf WHERE n NOT IN (SELECT id FROM e) UNION ALL SELECT 'short', count(*) FROM (SELECT q FROM ivf GROUP BY q HAVING count(*) < 10)
             UNION ALL SELECT 'rank_repeats', count(*) FROM (SELECT q FROM ivf GROUP BY q, rank HAVING count(*) > 1)""",
         "code_dedupe": f"SELECT min(id) AS first_id, count(*) AS n_vectors FROM ({corpus_v}) GROUP BY array_to_string(list_transform(v, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '')",
+        "knn_nprobe_sweep": f"""WITH {_E}, {_exact()}, {_ivf("e", "id % 20 = 0", 1, "n1")}, {_ivf("e", "id % 20 = 0", 2, "n2")}, {_ivf("e", "id % 20 = 0", 4, "n4")}, {_ivf("e", "id % 20 = 0", 8, "n8")},
+            a AS (SELECT 1 AS nprobe, q, n FROM n1 UNION ALL SELECT 2, q, n FROM n2 UNION ALL SELECT 4, q, n FROM n4 UNION ALL SELECT 8, q, n FROM n8)
+            SELECT nprobe, 10 AS i, round(count(*) / (10 * (SELECT count(DISTINCT q) FROM exact)), 6) AS recall FROM a JOIN exact USING (q, n) GROUP BY nprobe""",
+        "vector_transform": f"""WITH t AS (SELECT j, list_sum(list_transform(v, lambda x, i: CAST(x AS DOUBLE) * CASE WHEN bit_count((i - 1)::INTEGER & j::INTEGER) % 2 = 0 THEN 0.125::DOUBLE ELSE -0.125::DOUBLE END)) AS x FROM ({corpus_v}), range(0, 8) r(j))
+            SELECT CAST(j AS INTEGER) AS dim, count(*) AS n, round(sum(x), 3) AS total FROM t GROUP BY j""",
         "embed_corpus": "SELECT doc_ord, CAST(64 AS INTEGER) AS d FROM custom_text_corpus",
         "token_estimate": f"SELECT doc_id, {_tokens('text', 'lang')} AS n_tokens FROM documents",
         "doc_chunks": f"""WITH t AS (SELECT doc_id, text, {_tokens("text", "lang")} AS tc FROM documents WHERE length(text) > 0), w AS (SELECT *, CAST(ceil(length(text) / ceil(tc / 2048)) AS BIGINT) AS w FROM t),
@@ -150,7 +155,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT s.file, s.start, l.line FROM s JOIN l ON l.file = s.file AND l.line BETWEEN s.start AND s.start + 2""",
         "greedy_walk": f"WITH RECURSIVE {_WALK} SELECT cluster_id, pos, id FROM walk",
         "cluster_stats": f"""WITH RECURSIVE {_WALK}, z AS (SELECT count(*) AS s FROM walk GROUP BY cluster_id)
-            SELECT count(*) AS n_clusters, CAST(sum(s) AS BIGINT) AS n_docs, round(avg(s), 6) AS mean_size, round(quantile_cont(s, 0.25), 6) AS q25, round(quantile_cont(s, 0.5), 6) AS q50, round(quantile_cont(s, 0.75), 6) AS q75, count_if(s >= 21) AS n_full FROM z""",
+            SELECT count(*) AS n_clusters, CAST(sum(s) AS BIGINT) AS n_docs, round(avg(s), 6) AS mean_size, round(quantile_cont(s, 0.25), 6) AS q25, round(quantile_cont(s, 0.5), 6) AS q50, round(quantile_cont(s, 0.75), 6) AS q75, CAST(count_if(s >= 21) AS BIGINT) AS n_full FROM z""",
         "doc_paths": f"""WITH RECURSIVE {_WALK}, {_filtered("SELECT cluster_id AS g, pos + 1 AS pos, id AS key, text AS content FROM walk JOIN documents d ON d.doc_id = walk.id")}
             SELECT g AS cluster_id, CAST(count(kept.g) AS INTEGER) AS n_docs, coalesce(string_agg(CAST(kept.key AS VARCHAR), ',' ORDER BY kept.pos), '') AS ids, md5(coalesce(string_agg(kept.content, chr(10) ORDER BY kept.pos), '')) AS digest
             FROM (SELECT DISTINCT g FROM el) LEFT JOIN kept USING (g) GROUP BY g""",
@@ -161,7 +166,7 @@ def oracle_sql() -> dict[str, str]:
               SELECT r.path_id, r.i + 1, CASE WHEN r.i > 0 AND r.s >= t.most THEN r.c + 1 ELSE r.c END, CASE WHEN r.s >= t.most THEN 0 ELSE r.s END + t.t[r.i + 1] FROM r JOIN t USING (path_id) WHERE r.i < len(t.t))
             SELECT path_id, c AS context, CAST(min(i) - 1 AS INTEGER) AS first_pos, count(*) AS n_docs, CAST(sum(t.t[i]) AS BIGINT) AS n_tokens FROM r JOIN t USING (path_id) WHERE i > 0 GROUP BY path_id, c""",
         "chunk_histogram": """WITH b AS (SELECT type, CAST(greatest(least(CAST(ceil(token_count / 64.0) AS BIGINT), 17) - 1, 0) AS INTEGER) AS bucket, token_count FROM dataset_item WHERE token_count IS NOT NULL)
-            SELECT a.type, CAST(a.bucket AS INTEGER) AS bucket, count(b.bucket) AS n, count_if(coalesce(b.token_count > 1024, false)) AS n_over FROM (SELECT DISTINCT type, unnest(range(0, 17)) AS bucket FROM b) a LEFT JOIN b ON a.type IS NOT DISTINCT FROM b.type AND a.bucket = b.bucket GROUP BY ALL""",
+            SELECT a.type, CAST(a.bucket AS INTEGER) AS bucket, count(b.bucket) AS n, CAST(count_if(coalesce(b.token_count > 1024, false)) AS BIGINT) AS n_over FROM (SELECT DISTINCT type, unnest(range(0, 17)) AS bucket FROM b) a LEFT JOIN b ON a.type IS NOT DISTINCT FROM b.type AND a.bucket = b.bucket GROUP BY ALL""",
         "qa_pairs": f"WITH {_PAIRS} SELECT path_id, doc_pos, qa_ord, md5({_QA_TEXT}) AS digest FROM rows",
         "qa_filter": f"WITH {_PAIRS} SELECT path_id, qa_ord FROM rows WHERE regexp_matches(trim(question), '[?？]$') AND NOT regexp_matches(question, 'guide|手册')",
         "qa_simplify_cut": f"""WITH {_PAIRS}, c AS (SELECT path_id, qa_ord, trim(answer, '答案：') AS answer FROM rows)

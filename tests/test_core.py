@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from longreach.functions import language_model as lm
 from longreach.functions import seeded
 from longreach.functions import text as X
-from longreach.operators import context, datasets, ivf, knn, paths, qa
+from longreach.operators import context, datasets, evaluate, ivf, knn, paths, qa
 from longreach.sources import files
 from longreach.streaming import incremental
 
@@ -121,6 +121,31 @@ def test_trained_index(spark, vectors):
         ivf.train(df, ivf.Config(subspaces=5))
 
 
+def test_configuration_and_evaluation(spark, vectors):
+    _, df = vectors
+    config = evaluate.SearchConfig(16, nprobe=4, index=ivf.Config(lists=4, subspaces=4, centres=32))
+    assert [(c.nprobe, c.k) for c in evaluate.expand(config, nprobe=[1, 2], k=[3])] == [(1, 3), (2, 3)]
+    for bad in ({"nprobe": 5}, {"metric": "x"}, {"k": 0}, {"d": 18}):
+        with pytest.raises(ValueError):
+            evaluate.expand(config, **{k: [v] for k, v in bad.items()})
+    found = evaluate.evaluate(df.where("id % 20 = 0"), df, config)
+    assert found["recall"].count() == 10 and found["means"].count() == 3
+    assert found["intersections"].agg(F.sum("n_queries")).first()[0] == 15
+    turned = evaluate.linear_transform(df, evaluate.hadamard(16, 16))
+    norms = df.join(turned.withColumnRenamed("v", "w"), "id").selectExpr("abs(aggregate(transform(v, x -> x * x), 0D, (a, b) -> a + b) - aggregate(transform(w, x -> x * x), 0D, (a, b) -> a + b)) as gap")
+    assert norms.agg(F.max("gap")).first()[0] < 1e-3
+
+
+def test_batches_go_on_where_they_were(spark, vectors, tmp_path):
+    _, df = vectors
+    run = lambda q: knn.exact_knn(q, df, 3)
+    q = df.where("id < 300 and id % 50 = 0")
+    assert evaluate.search_in_batches(q, str(tmp_path / "knn"), 100, run, most=1) == 1
+    assert evaluate.search_in_batches(q, str(tmp_path / "knn"), 100, run) == 2
+    assert evaluate.search_in_batches(q, str(tmp_path / "knn"), 100, run) == 0
+    assert spark.read.parquet(str(tmp_path / "knn")).count() == 18
+
+
 def test_vector_helpers(spark, vectors):
     _, df = vectors
     assert knn.vector_distinct(df).count() == 299
