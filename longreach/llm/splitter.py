@@ -16,11 +16,12 @@ from __future__ import annotations
 import re
 from collections import deque
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .text import code_points, map_arrow
@@ -113,31 +114,77 @@ def stitch(tables: Iterable[tuple[list[int], list[int], int, int, np.ndarray | N
         yield emit((off_c, off_b), False)
 
 
+_TABLES = "rec bigint, rate double, part int, ends_c array<int>, ends_b array<int>, chars int, bytes int, widths binary"
+_TYPES = (pa.int64(), pa.float64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.binary())
+
+
+def _table_row(body: str, after: str) -> tuple:
+    ends_c, ends_b, chars, n = boundary_table(body, after)
+    return ends_c, ends_b, chars, n, None if n == chars else code_widths(body)
+
+
+def _table_batch(rows: list[tuple]) -> pa.RecordBatch:
+    names = [f.split()[0] for f in _TABLES.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(_TYPES)], names=names)
+
+
 def pieces(records: DataFrame, limit_tokens: int, overlap_tokens: int, range_chars: int = RANGE) -> DataFrame:
     """(rec, piece, start, end, n_bytes, forced) of the records whose token size is above ``limit_tokens``.
 
     ``records`` has (rec, text, rate), rec unique; other columns are ignored. ``start`` and ``end`` are offsets in
     characters (end exclusive). ``forced`` is true for all pieces of a record with a stretch between neighbouring
-    natural boundaries that is above the limit by itself. Null texts and rates have no pieces. Offsets refer to the
-    text as it is, white space included."""
+    natural boundaries that is above the limit by itself. Rows with a null in any of the three have no pieces. Offsets
+    refer to the text as it is, white space included."""
     size = F.octet_length("text")
-    over = records.where(F.col("rate") > 0).where(F.ceil(F.round(size * F.col("rate"), 9)) > limit_tokens)
-    ranges = over.select(
-        "rec", "rate", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / range_chars).cast("int")), lambda i: F.substring("text", i * range_chars + 1, F.lit(range_chars + 1)))).alias("part", "text")
-    )
+    over = records.where("rec is not null and rate > 0").where(F.ceil(F.round(size * F.col("rate"), 9)) > limit_tokens)
+    starts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / range_chars).cast("int"))
+    ranges = over.select("rec", "rate", F.posexplode(F.transform(starts, lambda i: F.substring("text", i * range_chars + 1, F.lit(range_chars + 1)))).alias("part", "text"))
+
+    def detect(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return _table_batch([(rec, rate, k, *_table_row(t[:range_chars], t[range_chars:])) for rec, rate, k, t in zip(*(batch.column(c).to_pylist() for c in ("rec", "rate", "part", "text")))])
+
+    return _stitched(map_arrow(ranges, detect, _TABLES), limit_tokens, overlap_tokens)
+
+
+def file_pieces(spark: SparkSession, paths: list[str], rate: float, limit_tokens: int, overlap_tokens: int, range_bytes: int = 8 << 20) -> DataFrame:
+    """(rec, piece, start, end, n_bytes, forced) of UTF-8 files, ``rec`` their place in ``paths``; files within the limit
+    come as one piece, empty ones as none.
+
+    A task reads one range of bytes and a halo of eight: characters belong to the range that holds their first byte, so
+    no file is ever read whole. Paths must be visible to all executors (any file system that Arrow knows)."""
+    from pyarrow import fs
+
+    def opened(path: str):
+        return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+    plan = []
+    for rec, path in enumerate(paths):
+        store, local = opened(path)
+        size = store.get_file_info(local).size
+        plan += [(rec, part, path, start, min(size, start + range_bytes)) for part, start in enumerate(range(0, size, range_bytes))]
+    ranges = spark.createDataFrame(plan, "rec bigint, part int, path string, start bigint, end bigint").repartition(max(1, min(len(plan), 10_000)), "rec", "part")
 
     def detect(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for k, t in zip(batch.column("part").to_pylist(), batch.column("text").to_pylist()):
-            after, body = t[range_chars:], t[:range_chars]
-            ends_c, ends_b, chars, n = boundary_table(body, after)
-            rows.append((ends_c, ends_b, chars, n, None if n == chars else code_widths(body)))
-        return pa.RecordBatch.from_arrays(
-            [batch.column("rec"), batch.column("rate"), batch.column("part"), *(pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.binary())))],
-            names=["rec", "rate", "part", "ends_c", "ends_b", "chars", "bytes", "widths"],
-        )
-
-    tables = map_arrow(ranges, detect, "rec bigint, rate double, part int, ends_c array<int>, ends_b array<int>, chars int, bytes int, widths binary")
+        for rec, part, path, start, end in zip(*(batch.column(c).to_pylist() for c in ("rec", "part", "path", "start", "end"))):
+            store, local = opened(path)
+            with store.open_input_file(local) as f:
+                f.seek(start)
+                raw = f.read(end - start + 8)
+            skip = 0
+            while start and skip < len(raw) and raw[skip] & 0xC0 == 0x80:
+                skip += 1  # the range before has this character
+            stop = end - start
+            while stop < len(raw) and raw[stop] & 0xC0 == 0x80:
+                stop += 1
+            rows.append((rec, rate, part, *_table_row(raw[skip:stop].decode(), raw[stop : stop + 4].decode(errors="ignore")[:1])))
+        return _table_batch(rows)
+
+    return _stitched(map_arrow(ranges, detect, _TABLES), limit_tokens, overlap_tokens)
+
+
+def _stitched(tables: DataFrame, limit_tokens: int, overlap_tokens: int) -> DataFrame:
+    """Pieces from boundary tables: each text's tables go through one task in order, which holds one piece at a time."""
     sorted_tables = tables.repartition("rec").sortWithinPartitions("rec", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,8 +192,6 @@ def pieces(records: DataFrame, limit_tokens: int, overlap_tokens: int, range_cha
             for batch in batches:
                 yield from zip(*(batch.column(c).to_pylist() for c in ("rec", "rate", "ends_c", "ends_b", "chars", "bytes", "widths")))
 
-        from itertools import groupby
-
         out: list[tuple] = []
         for (rec, rate), group in groupby(rows(), key=lambda r: r[:2]):
             limit, overlap = int(limit_tokens / rate + 1e-9), int(overlap_tokens / rate + 1e-9)

@@ -56,6 +56,23 @@ def test_pieces_of_a_table(spark):
     assert all(r["text"] == texts[r["rec"]][r["start"] : r["end"]] for r in with_text)
 
 
+def test_pieces_of_files(spark, tmp_path):
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice(["word ", "汉字。", "é. ", "😀", "end.\n", "x"]) for _ in range(n)) for n in (4000, 1, 300)] + [""]
+    for i, t in enumerate(texts):
+        (tmp_path / f"{i}.txt").write_bytes(t.encode())
+    paths = [str(tmp_path / f"{i}.txt") for i in range(4)]
+    got = sorted(map(tuple, splitter.file_pieces(spark, paths, 0.25, 64, 8, range_bytes=101).collect()))
+    df = spark.createDataFrame([(i, t, 0.25) for i, t in enumerate(texts)], "rec bigint, text string, rate double")
+    assert [r for r in got if r[0] != 1] == sorted(map(tuple, splitter.pieces(df, 64, 8).collect()))
+    assert [r[:4] for r in got if r[0] == 1] == [(1, 0, 0, len(texts[1]))]
+
+
+def test_null_keys_have_no_pieces(spark):
+    df = spark.createDataFrame([(None, "word. " * 500, 0.25), (None, "other. " * 500, 0.25)], "rec bigint, text string, rate double")
+    assert splitter.pieces(df, 64, 8).count() == 0
+
+
 # ---- packing -----------------------------------------------------------------------------------------------------
 
 
