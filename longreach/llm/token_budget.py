@@ -123,12 +123,18 @@ _MARKS = {
 }
 
 
+def _bare(label: F.Column) -> F.Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(label, r"(?U)^\s+|\s+$", "")
+
+
 def named_language(label: F.Column) -> F.Column:
     """The language that a label names: a usual code or name, in any case, with any region or script suffix; null where
     it names none of those known."""
-    first = F.lower(F.element_at(F.split(F.trim(label), r"[-_\s(（.,@/]"), 1))
+    label = _bare(label)
+    first = F.lower(F.element_at(F.split(label, r"[-_\s(（.,@/]"), 1))
     table = [x for k, names in LANGUAGE_NAMES.items() for n in names.split() for x in (F.lit(n), F.lit(k))]
-    simplified = F.lower(F.trim(label)).rlike("^(simplified|traditional|mandarin|modern standard)[ _-]chinese$|^(简体|繁体|繁體)中?文?$")
+    simplified = F.lower(label).rlike("^(simplified|traditional|mandarin|modern standard)[ _-]chinese$|^(简体|繁体|繁體)中?文?$")
     return F.when(simplified, F.lit("zh")).otherwise(F.try_element_at(F.create_map(*table), first))
 
 
@@ -159,7 +165,7 @@ def wrong_languages(dataset: DataFrame) -> DataFrame:
     """(row_id) of the rows whose ``language`` is null, blank or doesn't name the language of ``question``. Where the
     question has no letters, only null and blank labels are wrong."""
     asked = text_language(F.col("question"))
-    return dataset.where(F.col("language").isNull() | (F.trim("language") == "") | (asked.isNotNull() & ~named_language(F.col("language")).eqNullSafe(asked))).select("row_id")
+    return dataset.where(F.col("language").isNull() | (_bare(F.col("language")) == "") | (asked.isNotNull() & ~named_language(F.col("language")).eqNullSafe(asked))).select("row_id")
 
 
 def budget(dataset: DataFrame, items: DataFrame, rates: DataFrame, measure: str = "rate", folder: str = TOKENIZER_DIR) -> DataFrame:

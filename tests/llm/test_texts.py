@@ -306,12 +306,19 @@ def test_token_counts(spark):
     assert token_budget.token_counts(df.limit(0), ["id"]).count() == 0
 
 
-@pytest.mark.parametrize("label, name", [("en-US", "en"), ("ENG", "en"), ("English", "en"), ("zh_Hans", "zh"), ("中文", "zh"), ("Simplified Chinese", "zh"), ("zh-Hans-CN", "zh"), (" EN ", "en"), ("de_DE", "de"), ("français", "fr"), ("unknown", None), ("und", None), ("", None), (None, None), ("enx", None)])
+@pytest.mark.parametrize("label, name", [("en-US", "en"), ("ENG", "en"), ("English", "en"), ("zh_Hans", "zh"), ("中文", "zh"), ("Simplified Chinese", "zh"), ("zh-Hans-CN", "zh"), (" EN\t", "en"), ("\t\n", None), ("de_DE", "de"), ("français", "fr"), ("unknown", None), ("und", None), ("", None), (None, None), ("enx", None)])
 def test_named_language(spark, label, name):
     df = spark.createDataFrame([(label,)], "l string")
     assert df.select(token_budget.named_language(df["l"])).first()[0] == name
 
 
+def test_wrong_languages(spark):
+    q = "Which town supplied the timber?"
+    rows = [(1, "en", q), (2, None, q), (3, "\t ", q), (4, "zh", q), (5, "xx", None), (6, None, None), (7, "English (UK)", q), (8, "en", "谁修复了医院？")]
+    df = spark.createDataFrame(rows, "row_id bigint, language string, question string")
+    assert sorted(r[0] for r in token_budget.wrong_languages(df).collect()) == [2, 3, 4, 6, 8]
+
+
 @pytest.mark.parametrize("text, name", [("Which town supplied the timber?", "en"), ("1541年从托纳城运往鲁德城的蜂蜜有多少桶？", "zh"), ("Welche Stadt lieferte das Holz?", "de"), ("Quelle ville a fourni le bois du pont ?", "fr"), ("¿Qué ciudad suministró la madera del puente?", "es"), ("123", None), ("", None), (None, None)])
 def test_text_language(spark, text, name):
     df = spark.createDataFrame([(text,)], "t string")
