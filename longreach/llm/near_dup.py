@@ -263,6 +263,19 @@ def link_representatives(records: DataFrame, threshold: float = 0.7, n: int = 5,
     return members, links
 
 
+def star_links(records: DataFrame, threshold: float, n: int = 5, bands: int = 32) -> DataFrame:
+    """(tbl, rec_a, rec_b, similarity): verified links that join similar texts into clusters, not all links.
+
+    Every text of a bucket is compared with the bucket's smallest record only, so there are at most ``bands`` links per
+    record however large a bucket is. Counts and smallest records are made before the shuffle."""
+    signed = table(sign(records, n), "signed")
+    banded = signed.select("tbl", "rec", F.explode(F.slice("keys", 1, bands)).alias("key"))
+    leaders = banded.groupBy("tbl", "key").agg(F.min("rec").alias("rec_a"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    pairs = table(banded.join(leaders, ["tbl", "key"]).where("rec <> rec_a").select("tbl", "rec_a", F.col("rec").alias("rec_b")).distinct(), "stars")
+    text = lambda s: records.select("tbl", F.col("rec").alias(f"rec_{s}"), F.col("text").alias(f"text_{s}"))
+    return table(_verify(pairs.join(text("a"), ["tbl", "rec_a"]).join(text("b"), ["tbl", "rec_b"]), threshold, n), "links")
+
+
 def similar_pairs(records: DataFrame, threshold: float = 0.7, n: int = 5) -> DataFrame:
     """All pairs (tbl, rec_a, rec_b), rec_a < rec_b, with similarity of at least ``threshold``, equal texts included.
 
