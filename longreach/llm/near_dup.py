@@ -23,7 +23,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..runtime import table, table_state
 from .text import code_points, map_arrow
@@ -249,8 +248,9 @@ def link_representatives(records: DataFrame, threshold: float = 0.7, n: int = 5,
     others = copies.where("rec <> rep").select("tbl", "rec")
     unique = signed.join(others, ["tbl", "rec"], "left_anti")
     banded = unique.select("tbl", "rec", F.explode("keys").alias("key"))
-    shared = banded.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("tbl", "key"))).where("_n > 1")
-    candidates = tiled_pairs(table(shared, "buckets"), ["tbl", "key"], "rec", "_n").select("tbl", "rec_a", "rec_b").distinct()
+    # counted before the shuffle, then joined: a bucket that holds a third of all rows is split like any skewed join
+    sizes = table(banded.groupBy("tbl", "key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "sizes")
+    candidates = tiled_pairs(table(banded.join(sizes, ["tbl", "key"]), "buckets"), ["tbl", "key"], "rec", "_n").select("tbl", "rec_a", "rec_b").distinct()
     values = signed.select("tbl", "rec", "n_chars", "keys")
     side = lambda s: values.select("tbl", F.col("rec").alias(f"rec_{s}"), F.col("n_chars").alias(f"chars_{s}"), F.col("keys").alias(f"keys_{s}"))
     kept = table(_prune(candidates.join(side("a"), ["tbl", "rec_a"]).join(side("b"), ["tbl", "rec_b"]), threshold, tolerance), "kept")
