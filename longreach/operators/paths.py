@@ -195,14 +195,16 @@ def near_dup_kept(contents: Column, threshold: float = 0.75, n: int = 3, head: i
     start = F.struct(F.array().cast("array<int>").alias("kept"), F.lit(None).cast("string").alias("prev"), F.lit(0).alias("i"))
 
     def step(acc: Column, text: Column) -> Column:
-        similar = ngram_similarity(text, acc["prev"], n, head)
         nothing = text.isNull()
         first = acc["prev"].isNull()
-        keep = ~nothing & (first | (similar.isNotNull() & (similar <= threshold)))
-        moved = ~nothing & (first | similar.isNull() | (similar <= threshold))
-        return F.struct(
-            F.when(keep, F.concat(acc["kept"], F.array(acc["i"]))).otherwise(acc["kept"]).alias("kept"), F.when(moved, text).otherwise(acc["prev"]).alias("prev"), (acc["i"] + 1).alias("i")
-        )
+
+        def decided(similar: Column) -> Column:
+            keep = ~nothing & (first | (similar.isNotNull() & (similar <= threshold)))
+            moved = ~nothing & (first | similar.isNull() | (similar <= threshold))
+            return F.struct(F.when(keep, F.concat(acc["kept"], F.array(acc["i"]))).otherwise(acc["kept"]).alias("kept"), F.when(moved, text).otherwise(acc["prev"]).alias("prev"), (acc["i"] + 1).alias("i"))
+
+        # an array of one, so that the similarity is computed once and not at each of its places
+        return F.get(F.transform(F.array(ngram_similarity(text, acc["prev"], n, head)), decided), F.lit(0))
 
     return F.aggregate(contents, start, step, lambda acc: acc["kept"])
 
