@@ -186,7 +186,7 @@ def _matches(docs: list[str], block: Block) -> list[tuple[int, int, int]]:
                 text, i = int(place) >> 32, int(place) & 0xFFFFFFFF
                 item = block.texts[text]
                 if block.edits:
-                    mark = (k, text, 0, i - d)
+                    mark = (k, text, d, i)
                     if (k, text) in found or mark in seen:
                         continue
                     seen.add(mark)

@@ -197,6 +197,25 @@ def test_leaks_with_edits_reach_recall(spark):
     assert leakage.leaks(df, items, {"en": 60}, edits=0.05).count() >= 95
 
 
+@pytest.mark.parametrize("lang, window, length, edits", [("en", 30, 75, (20, 40)), ("zh", 10, 24, (15,))])
+def test_leaks_with_edits_after_a_failing_window(spark, lang, window, length, edits):
+    rnd = random.Random(0)
+    some = lambda n: "".join(chr(rnd.randint(0x4E00, 0x5E00)) if lang == "zh" else rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    items, docs = [], []
+    for i in range(12):  # the shared window that fails and the leak lie on one diagonal
+        text = some(300)
+        good = list(text[150 : 150 + length])
+        for k in edits:
+            good[k] = "0"
+        items.append((i, lang, text, None))
+        docs += [(i, text[:window] + some(150 - window) + "".join(good)), (100 + i, text[:window] + some(150))]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    it = spark.createDataFrame(items, "item_id bigint, lang string, passage string, question string")
+    runs = {"en": 60, "zh": 20}
+    assert leakage.leaks(df, it, runs).count() == 0
+    assert {tuple(r)[:2] for r in leakage.leaks(df, it, runs, edits=0.05).collect()} == {(i, i) for i in range(12)}
+
+
 def test_items_in_blocks(spark, monkeypatch):
     rnd = random.Random(3)
     items = [(i, "en", "".join(rnd.choice("abcdefgh") for _ in range(100)), None) for i in range(9)]
