@@ -82,3 +82,24 @@ def test_components_of_a_chain(spark):
     nodes = spark.createDataFrame([("a", i) for i in [*range(41), 100, 101, 200]], "tbl string, rec bigint")
     got = {r["rec"]: r["root"] for r in N.components(links, nodes).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 200: 200}
+
+
+def test_star_links_at_the_threshold(spark):
+    rnd = random.Random(4)
+    some = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    rows = []
+    for i in range(200):
+        a = some(64)
+        b = a[:48] + some(16)
+        rows += [("a", 3 * i, a), ("a", 3 * i + 1, a[:50] + b[50:]), ("a", 3 * i + 2, b[:40])]
+    want = {(x, y) for i in range(200) for x, y in ((3 * i, 3 * i + 1), (3 * i, 3 * i + 2), (3 * i + 1, 3 * i + 2)) if jaccard(rows[x][2], rows[y][2]) >= 0.6}
+    got = N.components(N.star_links(frame(spark, rows), 0.6), frame(spark, rows).select("tbl", "rec"))
+    root = {r["rec"]: r["root"] for r in got.collect()}
+    assert len(want) >= 200 and sum(root[a] == root[b] for a, b in want) >= 0.97 * len(want)
+
+
+def test_star_links_beside_the_smallest_record(spark, monkeypatch):
+    rows = [("a", 1, "nothing that the others have in common"), ("a", 2, "the passages do not say who bought the wool"), ("a", 3, "the passages do not say who bought the wood"), ("a", 4, "visitors reach the town by boat"), ("a", 5, "visitors reach the town by boats")]
+    signed = spark.createDataFrame([(t, r, [7, 8]) for t, r, _ in rows], "tbl string, rec bigint, keys array<bigint>")
+    monkeypatch.setattr(N, "sign", lambda records, n: signed)  # all in the same two buckets
+    assert sorted((r["rec_a"], r["rec_b"]) for r in N.star_links(frame(spark, rows), 0.6).collect()) == [(2, 3), (4, 5)]
