@@ -2,8 +2,9 @@
 
 The walk and the merge are sequential by definition, but fall apart over the connected components of the graph:
 components are found in parallel, each is walked in one task, and clusters are numbered by their first document, which
-gives the order of one walk over everything. A component above ``most`` documents is cut into ranges of ids, and edges
-that leave a range are ignored there, so that no task's input is unbounded.
+gives the order of one walk over everything. A component of any size is walked whole, in one task that holds its ids and
+neighbours as arrays. Only where ``most`` is given, one above it is cut into ranges of ids, and edges that leave a range
+are ignored there.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from ..functions.text import ngram_similarity
 from ..runtime import table, table_state
 
 CLUSTER_SIZE, FIRST, LAST = 21, 2, 10  # the ranks that a walk looks at
-MOST = 2_000_000
 ONE_TASK = 1_000_000
 
 
@@ -70,7 +70,18 @@ def components(near: DataFrame) -> DataFrame:
     return near.select("id").join(edges.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def walk(ids: np.ndarray, near: list[list[int]], size: int, first_extra: bool) -> list[list[int]]:
+class Lists:
+    """Rows of a list column, read from its arrays: about 80 bytes a document."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        chunk = pa.concat_arrays(column.chunks)
+        self.values, self.ends = np.asarray(chunk.flatten()), np.cumsum(np.asarray(chunk.value_lengths()), dtype=np.int64)
+
+    def __getitem__(self, i: int) -> list[int]:
+        return self.values[self.ends[i - 1] if i else 0 : self.ends[i]].tolist()
+
+
+def walk(ids: np.ndarray, near: list[list[int]] | Lists, size: int, first_extra: bool) -> list[list[int]]:
     """Clusters of one component: from the smallest unseen id, always on to the first unseen neighbour; a new cluster
     begins where there is none or the cluster is full. ``first_extra``: the first cluster takes one document more."""
     at = {int(v): i for i, v in enumerate(ids)}
@@ -94,16 +105,17 @@ def walk(ids: np.ndarray, near: list[list[int]], size: int, first_extra: bool) -
     return clusters
 
 
-def merge(clusters: list[list[int]], near: dict[int, list[int]], size: int) -> list[list[int]]:
+def merge(clusters: list[list[int]], ids: np.ndarray, near: list[list[int]] | Lists, size: int) -> list[list[int]]:
     """Dissolves clusters below ``size``, in order: each document goes directly before its first neighbour that is in
-    another cluster at that time; without one, or if that one was dropped itself, it is dropped. Clusters grow without a cap."""
+    another cluster at that time; without one, or if that one was dropped itself, it is dropped. Clusters grow without a cap.
+    ``ids`` are sorted, with their neighbours in ``near``."""
     now = [list(c) for c in clusters]
     home = {d: i for i, c in enumerate(now) for d in c}
     for i in range(len(now)):
         if len(now[i]) >= size or not now[i]:
             continue
         for d in list(now[i]):
-            goal = next((n for n in near.get(d, []) if n in home and home[n] != i), None)
+            goal = next((n for n in near[int(np.searchsorted(ids, d))] if n in home and home[n] != i), None)
             if goal is not None and goal in now[home[goal]]:
                 home[d] = home[goal]
                 now[home[goal]].insert(now[home[goal]].index(goal), d)
@@ -111,13 +123,13 @@ def merge(clusters: list[list[int]], near: dict[int, list[int]], size: int) -> l
     return now
 
 
-def clusters(knn: DataFrame, ids: DataFrame, merged: bool = False, size: int = CLUSTER_SIZE, strict: bool = False, most: int = MOST) -> DataFrame:
+def clusters(knn: DataFrame, ids: DataFrame, merged: bool = False, size: int = CLUSTER_SIZE, strict: bool = False, most: int | None = None) -> DataFrame:
     """(seed, pos, id): the walk over ``knn`` (q, rank, n) and all ``ids``, or what is left after the merge. The seed is
     the first document of the cluster in the walk. ``strict``: no cluster above ``size``; else the very first takes
     one more. A dissolved cluster has no rows."""
     near = table(neighbour_lists(knn, ids), "near")
     group = components(near)
-    big = group.groupBy("component").agg(F.count(F.lit(1)).alias("c")).withColumn("parts", F.ceil(F.col("c") / most))
+    big = group.groupBy("component").agg(F.count(F.lit(1)).alias("c")).withColumn("parts", F.ceil(F.col("c") / most) if most else F.lit(1))
     w = Window.partitionBy("component").orderBy("id")
     small = group.join(big.where("parts = 1").select("component"), "component").select("id", "component", F.lit(0).alias("part"))
     large = group.join(big.where("parts > 1").select("component", "c", "parts"), "component").withColumn("_r", F.row_number().over(w)).select("id", "component", F.floor((F.col("_r") - 1) * F.col("parts") / F.col("c")).cast("int").alias("part"))
@@ -127,11 +139,11 @@ def clusters(knn: DataFrame, ids: DataFrame, merged: bool = False, size: int = C
     def run(_key, t):
         t = t.sort_by("id")
         values = np.asarray(t.column("id"))
-        lists = t.column("near").to_pylist()
+        lists = Lists(t.column("near"))
         walked = walk(values, lists, size, not strict and values[0] == first)
         seeds = [c[0] for c in walked]
         if merged:
-            walked = merge(walked, dict(zip(values.tolist(), lists)), size)
+            walked = merge(walked, values, lists, size)
         out = [(s, p, d) for s, c in zip(seeds, walked) for p, d in enumerate(c)]
         return pa.table([pa.array([r[i] for r in out], ty) for i, ty in enumerate((pa.int64(), pa.int32(), pa.int64()))], names=["seed", "pos", "id"])
 

@@ -1,3 +1,4 @@
+import inspect
 import json
 import random
 
@@ -225,6 +226,17 @@ def test_chain_of_thirty(spark):
     assert paths.greedy_walk(edges, ids.limit(0)).count() == 0
 
 
+def test_components_are_walked_whole(spark):
+    assert inspect.signature(paths.clusters).parameters["most"].default is None
+    near = graph(4, 60)
+    edges = spark.createDataFrame([(q, r + 2, n) for q, ns in near.items() for r, n in enumerate(ns)], "q bigint, rank int, n bigint")
+    ids = spark.createDataFrame([(i,) for i in near], "id bigint")
+    got = {}
+    for r in paths.clusters(edges, ids, size=5, most=None).orderBy("seed", "pos").collect():
+        got.setdefault(r["seed"], []).append(r["id"])
+    assert list(got.values()) == naive_walk(near, 5)
+
+
 def test_near_dup_filter(spark):
     a = "the quick brown fox jumps over the lazy dog"
     rows = [(1, ["1", "2", "3", "4"], [a, a + "!", "something else", a + "?"]), (2, ["1", "2"], ["ab", "cd"]), (3, [], []), (4, ["1", "2", "3"], [None, a, None]), (5, None, None), (6, ["1", "2"], [a, a])]
