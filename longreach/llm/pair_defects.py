@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from ..runtime import table
 from .near_dup import components, star_links
-from .spam import FUNCTION_CHARACTERS
 from .text import map_arrow
 
 DEFECTS = ("empty", "copy", "refusal", "wrong_language", "truncated")
@@ -43,6 +42,8 @@ _COURTESY = re.compile(
     r"^\W*(?:please (?:provide|give|ask|try|share)\b.*|could you (?:please )?(?:rephrase|provide|share|give)\b.*|would you\b.*|can you (?:please )?(?:rephrase|provide)\b.*|(?:i['’]?m |i am )?sorry\W*|i apologi[sz]e\W*|unfortunately\W*|regrettably\W*|thank you\b.*|请(?:提供|换|重新|补充).*|(?:很)?抱歉\W*|对不起\W*|遗憾的是\W*)$",
     re.I,
 )
+# Chinese characters that mark grammar.
+FUNCTION_CHARACTERS = frozenset("的了在是和与由于为被把及从到至而但并也都就所之其这那该已曾将以或有不没向对让使于每后前中上下时谁哪何么吗呢吧我你您他她它们此")
 # Words that tell the languages of responses apart; names hold none of them.
 _MARKS = {
     "en": frozenset("the of and was were is that which from by had has have with as at on after before not did does it its to in for what who how why where when both only an a so".split()),

@@ -238,26 +238,48 @@ LISTS = [
 ]
 
 
+TALES = [SENTENCES * 4, "# Harlova\n\n" + SENTENCES, "湖面约3749公顷，湖水简朴。议会在1504年拨款50794银币修缮植物园。", "Q: Which town supplied the timber?\nA: Ylllobest\n\nQ: How long did the journey take?\nA: 16 days"]
+
+
+@pytest.fixture(scope="module")
+def known(spark):
+    """What is learned from a small crawl of tales and lists."""
+    rnd = random.Random(6)
+    name = lambda: "".join(rnd.choice(["bel", "dos", "kar", "lim", "ost", "ven"]) for _ in range(3)).capitalize()
+    frames = ["The council of {} bought wool in the year {}.", "Most of the timber came by boat from {}, and the register of {} notes it.", "Who paid for the bridge of {} after the flood of {}?", "Le pont de {} fut construit après la crue de {}.", "议会在{}年拨款修缮{}的植物园。", "湖面约{}公顷，湖水的颜色是{}。"]
+    tales = [" ".join(rnd.choice(frames).format(name(), rnd.randint(1500, 1900)) for _ in range(12)) for _ in range(120)]
+    rows = [(i, t) for i, t in enumerate(tales + LISTS * 4)]
+    return spam.learned(spark.createDataFrame(rows, "doc_id bigint, text string"))
+
+
+def test_words_of_sentences_are_learned(known, spark):
+    assert {"the", "of", "的", "在"} <= known and not known & {"kettle", "cheap", "sofa", "办", "椅", "wool,"}
+    assert spam.learned(spark.createDataFrame([(1, None), (2, " ")], "doc_id bigint, text string")) == frozenset()
+
+
 @pytest.mark.parametrize("text", LISTS)
-def test_lists_are_flagged(text):
-    total, listed, top = spam.page(text)
-    assert listed > 0.5 * total and top <= listed <= total
-    total, listed, _ = spam.page(SENTENCES * 10 + text)
+def test_lists_are_flagged(text, known):
+    for k in (known, frozenset()):
+        total, listed, top = spam.page(text, k)
+        assert top > 0.5 * total and top <= listed <= total
+    total, listed, _ = spam.page(SENTENCES * 10 + text, known)
     assert listed <= 0.5 * total
 
 
-@pytest.mark.parametrize("text", [SENTENCES * 4, "# Harlova\n\n" + SENTENCES, "湖面约3749公顷，湖水简朴。议会在1504年拨款50794银币修缮植物园。", "Q: Which town supplied the timber?\nA: Ylllobest\n\nQ: How long did the journey take?\nA: 16 days", "die brücke bei dem dorf wurde nach der flut von 1540 wieder aufgebaut"])
-def test_sentences_are_not(text):
-    total, listed, _ = spam.page(text)
+@pytest.mark.parametrize("text", TALES)
+def test_sentences_are_not(text, known):
+    total, listed, _ = spam.page(text, known)
     assert listed <= 0.5 * total
 
 
-def test_flagged_table(spark):
-    rows = [(1, None), (2, ""), (3, " \n\t"), (4, LISTS[0]), (5, SENTENCES), (6, LISTS[0]), (7, LISTS[1] * 2000)]
+def test_flagged_table(spark, monkeypatch):
+    rows = [(1, None), (2, ""), (3, " \n\t"), (4, LISTS[0]), (6, LISTS[0]), (7, LISTS[1] * 2000), (8, "#a #b"), *((10 + i, t) for i, t in enumerate(TALES * 3))]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 as n_chars_all")
-    assert sorted(r[0] for r in spam.flagged(df).collect()) == [4, 6, 7]
+    assert sorted(r[0] for r in spam.flagged(df).collect()) == [4, 6, 7, 8]  # no floor of length
     assert spam.flagged(df.limit(0)).count() == 0
     assert spam.shape_counts(df).groupBy().sum("n_stretches").first()[0] > 10
+    monkeypatch.setattr(spam, "VOCABULARY", 1)
+    assert len(spam.learned(df)) == 1
 
 
 # ---- pairs -------------------------------------------------------------------------------------------------------
