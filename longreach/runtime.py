@@ -12,6 +12,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,10 +21,13 @@ _WRITTEN: list[str] = []
 
 
 def session(app: str = "longreach", cores: str | int = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
-    """A session with the settings that the operators assume; ``conf`` wins over them."""
+    """A session with the settings that the operators assume; ``conf`` wins over them. The master is that of the cluster
+    that submitted the program, and local only where there is none."""
+    builder = SparkSession.builder
+    if not SparkConf().contains("spark.master"):  # set by spark-submit
+        builder = builder.master(f"local[{cores}]")
     builder = (
-        SparkSession.builder.master(f"local[{cores}]")
-        .appName(app)
+        builder.appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
@@ -69,6 +73,27 @@ def table_state(df: DataFrame) -> tuple[int, int]:
     return row["n"], row["x"]
 
 
+HOT, PARTS = 10_000, 1024  # rows of a key above which a join is salted; parts that the rows of such keys fall into at first
+
+
+def salted_join(rows: DataFrame, values: DataFrame, key: list[str], by: list[str], size: str, hot: int | None = None) -> DataFrame:
+    """Inner join of ``rows`` with ``values``, which has one row per ``key`` and in ``size`` how many rows have it.
+
+    Rows of a key with more than HOT rows are spread by a hash of ``by`` over parts of about HOT rows, and its values
+    are copied once per part, so that no task gets all rows of a key whatever the plan. Where no key is hot, it is a plain
+    join. Hot keys are told to the rows by PARTS copies of each: they are a small part of what they stand for, and they
+    are joined, not broadcast. ``size`` may count fewer rows than there are, as long as it grows with them."""
+    hot = HOT if hot is None else hot
+    many = values.where(F.col(size) > hot).select(*key, F.ceil(F.col(size) / hot).cast("int").alias("_parts"))
+    if many.isEmpty():
+        return rows.join(values, key)
+    told = many.withColumn("_at", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    spread = rows.withColumn("_at", F.pmod(F.xxhash64(*by), F.lit(PARTS)).cast("int")).join(told, [*key, "_at"], "left").drop("_at")
+    spread = spread.withColumn("_part", F.pmod(F.xxhash64(F.lit(1), *by), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    copies = values.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col(size) / hot).cast("int") - 1))))
+    return spread.join(copies, [*key, "_part"]).drop("_part")
+
+
 def drop_tables(spark: SparkSession) -> int:
     """Deletes what ``table`` has written in this process; call it when no result that reads from it is needed."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
