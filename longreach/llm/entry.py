@@ -45,7 +45,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_templates(spark: SparkSession, d: str) -> DataFrame:
-    return pair_defects.opening_clusters(pair_defects.pairs(read(spark, d, "train"), read(spark, d, "dataset")))
+    return pair_defects.templates(pair_defects.pairs(read(spark, d, "train"), read(spark, d, "dataset")))
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:

@@ -10,13 +10,19 @@ run of spaces, tabs and line ends made one space.
 3. Texts with a band in common meet. Buckets above ``TILE`` members are cut into pairs of blocks, each in a
    group of its own, so that no task ever holds a large bucket.
 4. The MinHash values of a candidate pair are compared in steps; it is dropped as soon as the posterior
-   probability of reaching the threshold falls below ``tolerance`` (uniform prior).
+   probability of reaching the threshold falls below ``tolerance`` (uniform prior). The first step, the first value
+   of each band, is taken where the pair meets, before anything is shuffled; so a bucket of texts that aren't alike
+   leaves next to no pairs. Short texts fill few bins, and the others repeat them: their values count for as many as
+   there are filled bins.
 5. What remains is verified exactly on the whole texts.
+
+Classes, buckets and texts with very many partners are joined in parts (``salted_join``).
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -24,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import table, table_state
+from ..runtime import salted_join, table, table_state
 from .text import code_points, map_arrow
 
 BANDS, ROWS, TILE, SALTED = 64, 7, 256, 10_000
@@ -75,9 +81,10 @@ def _densify(values: np.ndarray) -> None:
     values[rows] = out
 
 
-def band_keys(texts: list[str], n: int) -> np.ndarray:
-    """(len(texts), BANDS) int64: byte 7 of a key is its band, bytes 0..6 the band's MinHash values.
-    Every text must have at least n code points."""
+def band_keys(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(len(texts), BANDS) int64: byte 7 of a key is its band, bytes 0..6 the band's MinHash values; and how many
+    of the BANDS bins are filled. Every text must have at least n code points."""
+    filled = np.empty(len(texts), np.int32)
     out = np.zeros((len(texts), BANDS, 8), np.uint8)
     out[:, :, 7] = np.arange(BANDS, dtype=np.uint8)
     start = 0
@@ -102,14 +109,17 @@ def band_keys(texts: list[str], n: int) -> np.ndarray:
             least = np.full((end - start) * BANDS, 0xFFFFFFFF, np.uint32)
             np.minimum.at(least, base + (value >> np.uint32(26)), value & np.uint32(0x3FFFFFF))
             least = least.reshape(-1, BANDS)
+            if r == 0:
+                filled[start:end] = (least != 0xFFFFFFFF).sum(axis=1)
             _densify(least)
             out[start:end, :, r] = (least * np.uint32(0x9E3779B1)) >> np.uint32(24)
         start = end
-    return out.view(np.int64).reshape(len(texts), BANDS)
+    return out.view(np.int64).reshape(len(texts), BANDS), filled
 
 
 def sign(records: DataFrame, n: int) -> DataFrame:
-    """(tbl, rec, digest, n_chars, keys) of each record whose text has an n-gram."""
+    """(tbl, rec, digest, filled, sketch, keys) of each record whose text has an n-gram. The sketch is the first value of
+    each band."""
     import hashlib
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -120,7 +130,7 @@ def sign(records: DataFrame, n: int) -> DataFrame:
                 texts.append(t)
         if not texts:
             return None
-        keys = band_keys(texts, n)
+        keys, filled = band_keys(texts, n)
         offsets = np.arange(len(texts) + 1, dtype=np.int32) * BANDS
         taken = batch.take(pa.array(keep))
         return pa.RecordBatch.from_arrays(
@@ -128,13 +138,14 @@ def sign(records: DataFrame, n: int) -> DataFrame:
                 taken.column("tbl"),
                 taken.column("rec"),
                 pa.array([hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts], pa.binary()),
-                pa.array(list(map(len, texts)), pa.int32()),
+                pa.array(filled),
+                pa.array(list(map(bytes, keys.view(np.uint8).reshape(len(texts), BANDS, 8)[:, :, 0])), pa.binary()),
                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1))),
             ],
-            names=["tbl", "rec", "digest", "n_chars", "keys"],
+            names=["tbl", "rec", "digest", "filled", "sketch", "keys"],
         )
 
-    return map_arrow(records.select("tbl", "rec", "text"), run, "tbl string, rec bigint, digest binary, n_chars int, keys array<bigint>")
+    return map_arrow(records.select("tbl", "rec", "text"), run, "tbl string, rec bigint, digest binary, filled int, sketch binary, keys array<bigint>")
 
 
 @lru_cache(None)
@@ -144,32 +155,49 @@ def least_matches(threshold: float, tolerance: float, compared: int) -> int:
     equal = s + (1 - s) / 256  # 8-bit values also agree by chance
     with np.errstate(divide="ignore"):
         lp, lq = np.log(equal), np.log1p(-equal)
-    for m in range(compared + 1):
+
+    def enough(m: int) -> bool:
         weight = m * lp + (compared - m) * lq
         weight = np.exp(weight - weight.max())
-        if weight[s >= threshold].sum() / weight.sum() >= tolerance:
-            return m
-    return compared
+        return weight[s >= threshold].sum() / weight.sum() >= tolerance
+
+    return bisect_left(range(compared + 1), True, key=enough) if enough(compared) else compared
+
+
+@lru_cache(64)
+def _least(threshold: float, tolerance: float, compared: int) -> np.ndarray:
+    """For each number of filled bins, the fewest equal values among ``compared``: with few bins, the values are worth
+    that part of them, and so are the equal ones."""
+    worth = [max(1, compared * m // BANDS) for m in range(BANDS + 1)]
+    return np.array([least_matches(threshold, tolerance, w) * compared // w for w in worth])
+
 
+def _bytes(column: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
-def _prune(pairs: DataFrame, threshold: float, tolerance: float) -> DataFrame:
-    """Drops pairs whose values, compared band after band, make the threshold improbable. Texts of fewer than 256
-    characters have too few independent values for the posterior and go straight to verification."""
+
+def _prune_sketches(pairs: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """First step: the pairs whose sketches (the first value of each band) leave the threshold probable."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        a, b = (np.asarray(batch.column(c).flatten()).view(np.uint8).reshape(-1, BANDS, 8)[:, :, :ROWS] for c in ("keys_a", "keys_b"))
-        alive = np.arange(len(a))
-        short = np.minimum(np.asarray(batch.column("chars_a")), np.asarray(batch.column("chars_b"))) < 256
-        equal = np.zeros(len(a), np.int64)
-        for start in range(0, BANDS, 8):
-            equal[alive] += (a[alive, start : start + 8] == b[alive, start : start + 8]).sum(axis=(1, 2))
-            least = least_matches(threshold, tolerance, (start + 8) * ROWS)
-            alive = alive[(equal[alive] >= least) | short[alive]]
-        return pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(alive)) for c in ("tbl", "rec_a", "rec_b")], names=["tbl", "rec_a", "rec_b"])
+        equal = (_bytes(batch.column("sketch_a"), BANDS) == _bytes(batch.column("sketch_b"), BANDS)).sum(axis=1)
+        filled = np.minimum(np.asarray(batch.column("filled_a")), np.asarray(batch.column("filled_b")))
+        keep = pa.array(np.flatnonzero(equal >= _least(threshold, tolerance, BANDS)[filled]))
+        return pa.RecordBatch.from_arrays([batch.column(c).take(keep) for c in ("tbl", "rec_a", "rec_b")], names=["tbl", "rec_a", "rec_b"])
 
     return map_arrow(pairs, run, "tbl string, rec_a bigint, rec_b bigint")
 
 
+def _probable(a: np.ndarray, b: np.ndarray, filled: np.ndarray, threshold: float, tolerance: float) -> np.ndarray:
+    """The places of the pairs that are left after all steps, eight bands each."""
+    alive = np.arange(len(a))
+    equal = np.zeros(len(a), np.int64)
+    for start in range(0, BANDS, 8):
+        equal[alive] += (a[alive, start : start + 8] == b[alive, start : start + 8]).sum(axis=(1, 2))
+        alive = alive[equal[alive] >= _least(threshold, tolerance, (start + 8) * ROWS)[filled[alive]]]
+    return alive
+
+
 def exact_similarity(pairs: list[tuple[str, str]], n: int) -> np.ndarray:
     """Jaccard index of the n-gram sets of each pair of normalised texts, without hashing."""
     known: dict[str, np.ndarray] = {}
@@ -199,8 +227,13 @@ def exact_similarity(pairs: list[tuple[str, str]], n: int) -> np.ndarray:
     return out
 
 
-def _verify(pairs: DataFrame, threshold: float, n: int) -> DataFrame:
+def _verify(pairs: DataFrame, threshold: float, n: int, tolerance: float) -> DataFrame:
+    """Prunes by all values, then computes the similarity of what is left."""
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        a, b = (np.asarray(batch.column(c).flatten()).view(np.uint8).reshape(-1, BANDS, 8)[:, :, :ROWS] for c in ("keys_a", "keys_b"))
+        filled = np.minimum(np.asarray(batch.column("filled_a")), np.asarray(batch.column("filled_b")))
+        batch = batch.take(pa.array(_probable(a, b, filled, threshold, tolerance)))
         done: dict[str, str] = {}
         texts = [batch.column(c).to_pylist() for c in ("text_a", "text_b")]
         for column in texts:
@@ -217,73 +250,53 @@ def _verify(pairs: DataFrame, threshold: float, n: int) -> DataFrame:
     return map_arrow(pairs, run, "tbl string, rec_a bigint, rec_b bigint, similarity double")
 
 
-def tiled_pairs(members: DataFrame, group: list[str], item: str, size: str, tile: int = TILE) -> DataFrame:
+def tiled_pairs(members: DataFrame, group: list[str], item: str, size: str, carry: tuple[str, ...] = (), tile: int | None = None) -> DataFrame:
     """All pairs a < b of the distinct items of each group, without a large group in any task: a group of more
     than ``tile`` rows is cut into blocks, and each pair of blocks is a join key of its own. ``size`` is the
-    column that has the number of rows of the group."""
+    column that has the number of rows of the group; columns to ``carry`` come along with both items."""
     rows = (
-        members.withColumn("_blocks", F.ceil(F.col(size) / tile).cast("int"))
+        members.withColumn("_blocks", F.ceil(F.col(size) / (tile or TILE)).cast("int"))
         .withColumn("_block", F.pmod(F.xxhash64(F.col(item)), F.col("_blocks")).cast("int"))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-        .select(*group, item, "_block", F.least("_block", "_other").alias("_low"), F.greatest("_block", "_other").alias("_high"))
+        .select(*group, item, *carry, "_block", F.least("_block", "_other").alias("_low"), F.greatest("_block", "_other").alias("_high"))
     )
     key = [*group, "_low", "_high"]
-    left = rows.select(*key, F.col(item).alias("rec_a"), F.col("_block").alias("_block_a"))
-    right = rows.select(*key, F.col(item).alias("rec_b"), F.col("_block").alias("_block_b"))
+    side = lambda s: rows.select(*key, F.col(item).alias(f"rec_{s}"), F.col("_block").alias(f"_block_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in carry))
     meet = (F.col("rec_a") < F.col("rec_b")) & ((F.col("_low") == F.col("_high")) | (F.col("_block_a") != F.col("_block_b")))
-    return left.join(right, key).where(meet).select(*group, "rec_a", "rec_b")
+    return side("a").join(side("b"), key).where(meet).select(*group, "rec_a", "rec_b", *(f"{c}_{s}" for c in carry for s in "ab"))
 
 
-def link_representatives(records: DataFrame, threshold: float = 0.7, n: int = 5, tolerance: float = 1e-4) -> tuple[DataFrame, DataFrame]:
+def link_representatives(records: DataFrame, threshold: float = 0.7, n: int = 5, tolerance: float = 1e-4, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """Classes of equal texts, and all links between the classes.
 
     ``records`` has (tbl, rec, text), ``rec`` unique in ``tbl``; other columns are ignored. Returns
     ``members`` (tbl, rec, rep, n_members), one row per record with an n-gram, and ``links`` (tbl, rec_a, rec_b,
-    similarity) between representatives, rec_a < rec_b. Null, empty and shorter texts are in neither.
+    similarity) between representatives, rec_a < rec_b. Null, empty and shorter texts are in neither. A band has
+    the first ``rows`` of its values as its key: with 7, a pair of similarity 0.7 shares one of the 64 with probability
+    0.995; with 5, one of similarity 0.6 does with 0.994.
     """
     signed = table(sign(records, n), "signed")
     classes = signed.groupBy("tbl", "digest").agg(F.min("rec").alias("rep"), F.count(F.lit(1)).alias("n_members"))
     repeated = table(classes.where("n_members > 1"), "repeated")
-    copies = table(signed.select("tbl", "rec", "digest").join(repeated, ["tbl", "digest"]).select("tbl", "rec", "rep", "n_members"), "copies")
+    copies = table(salted_join(signed.select("tbl", "rec", "digest"), repeated, ["tbl", "digest"], ["rec"], "n_members").select("tbl", "rec", "rep", "n_members"), "copies")
     others = copies.where("rec <> rep").select("tbl", "rec")
     unique = signed.join(others, ["tbl", "rec"], "left_anti")
-    banded = unique.select("tbl", "rec", F.explode("keys").alias("key"))
-    # counted before the shuffle, then joined: a bucket that holds a third of all rows is split like any skewed join
+    mask = (0xFF << 56 | (1 << 8 * rows) - 1) - (1 << 64)  # the band and its first values
+    banded = unique.select("tbl", "rec", F.explode("keys").alias("key")).withColumn("key", F.col("key").bitwiseAND(F.lit(mask)))
     sizes = table(banded.groupBy("tbl", "key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "sizes")
-    candidates = tiled_pairs(table(banded.join(sizes, ["tbl", "key"]), "buckets"), ["tbl", "key"], "rec", "_n").select("tbl", "rec_a", "rec_b").distinct()
-    values = signed.select("tbl", "rec", "n_chars", "keys")
-    side = lambda s: values.select("tbl", F.col("rec").alias(f"rec_{s}"), F.col("n_chars").alias(f"chars_{s}"), F.col("keys").alias(f"keys_{s}"))
-    kept = table(_prune(candidates.join(side("a"), ["tbl", "rec_a"]).join(side("b"), ["tbl", "rec_b"]), threshold, tolerance), "kept")
-    needed = kept.select("tbl", F.explode(F.array("rec_a", "rec_b")).alias("rec")).distinct()
-    texts = table(records.select("tbl", "rec", "text").join(needed, ["tbl", "rec"], "left_semi"), "texts")
-    text = lambda s: texts.select("tbl", F.col("rec").alias(f"rec_{s}"), F.col("text").alias(f"text_{s}"))
-    links = table(_verify(kept.join(text("a"), ["tbl", "rec_a"]).join(text("b"), ["tbl", "rec_b"]), threshold, n), "links")
+    buckets = table(salted_join(banded, sizes, ["tbl", "key"], ["rec"], "_n"), "buckets")
+    met = tiled_pairs(buckets.join(signed.select("tbl", "rec", "filled", "sketch"), ["tbl", "rec"]), ["tbl", "key"], "rec", "_n", ("filled", "sketch"))
+    candidates = table(_prune_sketches(met, threshold, tolerance).distinct(), "candidates")
+    degree = candidates.select("tbl", F.explode(F.array("rec_a", "rec_b")).alias("rec")).groupBy("tbl", "rec").agg(F.count(F.lit(1)).alias("_degree"))
+    values = table(degree.join(signed.select("tbl", "rec", "filled", "keys"), ["tbl", "rec"]).join(records.select("tbl", "rec", "text"), ["tbl", "rec"]), "values")
+    side = lambda s: values.select("tbl", F.col("rec").alias(f"rec_{s}"), F.col("_degree").alias(f"_degree_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("filled", "keys", "text")))
+    pairs = salted_join(salted_join(candidates, side("a"), ["tbl", "rec_a"], ["rec_b"], "_degree_a"), side("b"), ["tbl", "rec_b"], ["rec_a"], "_degree_b")
+    links = table(_verify(pairs, threshold, n, tolerance), "links")
     single = unique.join(repeated.select("tbl", F.col("rep").alias("rec")), ["tbl", "rec"], "left_anti")
     members = copies.unionByName(single.select("tbl", "rec", F.col("rec").alias("rep"), F.lit(1).cast("bigint").alias("n_members")))
     return members, links
 
 
-def star_links(records: DataFrame, threshold: float, n: int = 5, rows: int = 5) -> DataFrame:
-    """(tbl, rec_a, rec_b, similarity): verified links that join similar texts into clusters, not all links.
-
-    Every text of a bucket is compared with the bucket's smallest record first. Then all pairs of a bucket that those
-    links leave in different clusters are compared, so that the clusters are the same as by all pairs of the buckets. A
-    band has the first ``rows`` values only: with 5, a pair of similarity 0.6 shares one of the 64 with probability 0.99."""
-    signed = table(sign(records, n), "signed")
-    mask = (0xFF << 56 | (1 << 8 * rows) - 1) - (1 << 64)  # the band and its first values
-    banded = signed.select("tbl", "rec", F.explode("keys").alias("key")).withColumn("key", F.col("key").bitwiseAND(F.lit(mask)))
-    leaders = banded.groupBy("tbl", "key").agg(F.min("rec").alias("rec_a"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    text = lambda s: records.select("tbl", F.col("rec").alias(f"rec_{s}"), F.col("text").alias(f"text_{s}"))
-    verified = lambda pairs: table(_verify(pairs.join(text("a"), ["tbl", "rec_a"]).join(text("b"), ["tbl", "rec_b"]), threshold, n), "links")
-    stars = verified(table(banded.join(leaders, ["tbl", "key"]).where("rec <> rec_a").select("tbl", "rec_a", F.col("rec").alias("rec_b")).distinct(), "stars"))
-    roots = table(components(stars, signed.select("tbl", "rec")), "roots")
-    placed = banded.join(roots, ["tbl", "rec"]).select("tbl", "key", F.struct("root", "rec").alias("node"))
-    mixed = table(placed.groupBy("tbl", "key").agg(F.count(F.lit(1)).alias("_n"), F.min("node.root").alias("_low"), F.max("node.root").alias("_high")).where("_low < _high").select("tbl", "key", "_n"), "mixed")
-    across = tiled_pairs(table(placed.join(mixed, ["tbl", "key"]), "apart"), ["tbl", "key"], "node", "_n").where("rec_a.root <> rec_b.root")
-    pairs = across.select("tbl", F.least("rec_a.rec", "rec_b.rec").alias("rec_a"), F.greatest("rec_a.rec", "rec_b.rec").alias("rec_b")).distinct()
-    return stars.unionByName(verified(table(pairs, "pairs")))
-
-
 def similar_pairs(records: DataFrame, threshold: float = 0.7, n: int = 5) -> DataFrame:
     """All pairs (tbl, rec_a, rec_b), rec_a < rec_b, with similarity of at least ``threshold``, equal texts included.
 
@@ -313,10 +326,11 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     now = table_state(edges)
     while now[0]:
         both = edges.unionByName(edges.select("tbl", F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("tbl", "u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, ["tbl", "u"]).where("v > u").select("tbl", F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("tbl", "u").agg(F.min("v").alias("m"))
-        small = large.join(low, ["tbl", "u"])
+        least = table(both.groupBy("tbl", "u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("_n")), "least")
+        large = salted_join(both, least, ["tbl", "u"], ["v"], "_n").where("v > u").select("tbl", F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = table(large, "large")
+        low = table(large.groupBy("tbl", "u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n")), "low")
+        small = salted_join(large, low, ["tbl", "u"], ["v"], "_n")
         small = small.where("v <> m").select("tbl", F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("tbl", "u", F.col("m").alias("v")))
         edges = table(small.where("u <> v").distinct(), "edges")
         before, now = now, table_state(edges)
@@ -333,13 +347,10 @@ def groups(records: DataFrame, threshold: float = 0.7, n: int = 5) -> DataFrame:
     degree = links.select("tbl", F.explode(F.array("rec_a", "rec_b")).alias("rep")).groupBy("tbl", "rep").agg(F.count(F.lit(1)).alias("n_links"))
     linked = degree.select("tbl", F.col("rep").alias("rec"))
     roots = components(links, linked).select("tbl", F.col("rec").alias("rep"), "root")
-    return (
-        members.join(degree, ["tbl", "rep"], "left")
-        .join(roots, ["tbl", "rep"], "left")
-        .select("tbl", "rec", F.col("rep").alias("class_id"), F.coalesce("root", "rep").alias("group_id"), F.col("n_members").alias("n_copies"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
-    )
-
-
+    reps = members.where("rec = rep").select("tbl", "rep", "n_members").join(degree, ["tbl", "rep"], "left").join(roots, ["tbl", "rep"], "left")
+    known = reps.select("tbl", "rep", F.col("n_members").alias("n_copies"), F.coalesce("root", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
+    joined = salted_join(members.select("tbl", "rec", "rep"), table(known, "known"), ["tbl", "rep"], ["rec"], "n_copies")
+    return joined.select("tbl", "rec", F.col("rep").alias("class_id"), "group_id", "n_copies", "n_links")
 
 
 def corpus_and_paths(corpus: DataFrame, paths: DataFrame) -> DataFrame:

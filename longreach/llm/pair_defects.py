@@ -1,23 +1,26 @@
 """Defective prompt and response pairs: empty, copy, refusal, wrong_language, truncated.
 
-Refusals are found by how openings recur. The opening of each response (its first stretch, names and numbers masked)
-is a record; equal openings are counted before the shuffle, similar ones are linked by MinHash with exact
-verification (near_dup.star_links) and joined to clusters. A cluster is a refusal template if it recurs over unrelated prompts
-and most of what it stands for says that no answer is given. A response is a refusal if its opening is of such a
-cluster, or says so itself, and nothing else in it could be an answer. The other defects are read off the pair.
+Refusals are found by how openings recur; there is no list of wordings. An answer is cut into clauses. Answers of which
+some clause is tied to its prompt (numbers, names of the question or passages, words that stand in them as they are) can't
+be refusals. The openings of the clauses of all others are records: equal ones are counted before the shuffle, similar ones
+linked by MinHash with exact verification (near_dup). An opening is a template if it and its links recur over
+unrelated prompts, which have no word in common that other prompts lack: a bare answer recurs over prompts that ask the
+same, a refusal over any. Openings linked to a template are templates too. An answer is a refusal if all of its clauses
+open like templates. The other defects are read off the pair.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import table
-from .near_dup import components, star_links
+from ..runtime import salted_join, table
+from .near_dup import link_representatives
 from .text import map_arrow
 
 DEFECTS = ("empty", "copy", "refusal", "wrong_language", "truncated")
@@ -28,20 +31,11 @@ _STOP = re.compile(r"[.!?](?=[\s\"'”’)\]]|$)|[。！？；;]|\n")
 _HAN = re.compile(r"[㐀-鿿]")
 _LATIN_WORD = re.compile(r"[A-Za-zÀ-ÿ]+(?:['’][a-z]+)?")
 _BARE = re.compile(r"[\W_]+")
-_NAME = re.compile(r"\b[A-ZÀ-Þ][\w'’-]+")
-# What an opening says that gives no answer. Short on purpose: wordings that it lacks are found as members of clusters.
-_SAYS_NO = re.compile(
-    r"\bi\s+(?:really\s+|simply\s+|just\s+)?(?:can(?:no|')?t|can not|could not|couldn['’]t|am (?:unable|not able)|am not allowed|don['’]t know|do not know|won['’]t|will not|must (?:decline|refuse)|have to decline|decline)\b"
-    r"|\bunable to (?:help|answer|reply|respond|say|assist|provide)|\bimpossible for me\b|\banswer can(?:not)? be given\b|\bno answer can\b|\bnot enough information\b|\binsufficient (?:information|context)\b"
-    r"|\b(?:passages?|documents?|texts?|context) (?:do|does) not (?:say|mention|contain|provide)|\bbeyond what i may\b|\b(?:determine|know) the answer from the given\b|\bmust decline\b|\bcannot (?:answer|help|assist|determine)\b"
-    r"|无法(?:回答|作答|回复|提供|协助|给出|得知)|不能(?:协助|回答|得出|提供|处理|作答)|我不知道|不知道答案|没有办法(?:回复|回答)|不便(?:讨论|回答)|没有提供相关信息|未提供相关信息|并未提及此事|没有足够(?:的)?信息|信息不足|难以(?:回答|作答)|拒绝回答(?:该|这个)问题",
-    re.I,
-)
-# What may stand beside a refusal without being an answer.
-_COURTESY = re.compile(
-    r"^\W*(?:please (?:provide|give|ask|try|share)\b.*|could you (?:please )?(?:rephrase|provide|share|give)\b.*|would you\b.*|can you (?:please )?(?:rephrase|provide)\b.*|(?:i['’]?m |i am )?sorry\W*|i apologi[sz]e\W*|unfortunately\W*|regrettably\W*|thank you\b.*|请(?:提供|换|重新|补充).*|(?:很)?抱歉\W*|对不起\W*|遗憾的是\W*)$",
-    re.I,
-)
+_CLAUSE = re.compile(r"[,，;；:：]")
+_INNER = re.compile(r"(?<=\S )(?!I\b)[A-ZÀ-Þ][\w'’-]+")
+_DIGIT = re.compile(r"\d")
+_SPACED = re.compile(r"[\W_]+")
+OPENING_WORDS, OPENING_HAN = 6, 12  # words, or Chinese characters, of the opening of a clause
 # Chinese characters that mark grammar.
 FUNCTION_CHARACTERS = frozenset("的了在是和与由于为被把及从到至而但并也都就所之其这那该已曾将以或有不没向对让使于每后前中上下时谁哪何么吗呢吧我你您他她它们此")
 # Words that tell the languages of responses apart; names hold none of them.
@@ -155,24 +149,31 @@ def is_truncated(answer: str) -> bool:
     return len(_HAN.findall(body)) > 15 or len(body.split()) > 8
 
 
-def opening(answer: str) -> str:
-    """The first stretch that isn't a label, with names and numbers masked, in lower case."""
-    for s in stretches(unlabelled(answer.strip())):
-        if letters(s):
-            first = s[:1].lower() + s[1:] if not s.startswith("I ") else s
-            return _BARE.sub(" ", re.sub(r"\d+", "0", _NAME.sub("~", first)).lower()).strip()[:160]
-    return ""
+def spaced(text: str) -> str:
+    return _SPACED.sub(" ", text.lower()).strip()
 
 
-def no_answer(question: str, answer: str, template: bool) -> bool:
-    """Whether the answer declines and holds nothing else. ``template``: its opening is known to decline."""
-    said = template
-    for i, s in enumerate(stretches(unlabelled(answer.strip()))):
-        if _SAYS_NO.search(s):
-            said = True
-        elif not (i == 0 and template or not letters(s) or _COURTESY.match(s) or same_words(s, unlabelled(question))):
-            return False
-    return said
+def openings(question: str, answer: str, context: str) -> list[str] | None:
+    """The openings of the clauses of an answer, without stretches that only repeat the question; None where a clause is
+    tied to the prompt: it has a number, a name of the question or the passages, or stands in them as it is."""
+    asked = unlabelled(question)
+    parts = [k.strip() for s in stretches(unlabelled(answer.strip())) if not same_words(s, asked) for k in _CLAUSE.split(s)]
+    parts = [k for k in parts if letters(k)]
+    if not parts or any(map(_DIGIT.search, parts)):
+        return None
+    if any(w in question or w in context for k in parts for w in _INNER.findall(k)):
+        return None
+    heads = list(map(spaced, parts))
+    around = f" {spaced(asked)} \n {spaced(context)} "
+    if any(h in around for h in heads):
+        return None
+    return sorted({h[:OPENING_HAN] if _HAN.search(h) else " ".join(h.split()[:OPENING_WORDS]) for h in heads})
+
+
+def asked_units(question: str) -> list[str]:
+    """What prompts have in common if they ask the same: words, and pairs of Chinese characters."""
+    q = unlabelled(question).lower()
+    return sorted({w for w in _LATIN_WORD.findall(q) if len(w) > 1} | {q[i : i + 2] for i in range(len(q) - 1) if _HAN.match(q[i]) and _HAN.match(q[i + 1])})
 
 
 def question_of_prompt(prompt: F.Column) -> F.Column:
@@ -181,70 +182,106 @@ def question_of_prompt(prompt: F.Column) -> F.Column:
 
 
 def pairs(train: DataFrame, dataset: DataFrame) -> DataFrame:
-    """(tbl, row_id, question, answer) of both tables."""
-    return train.select(F.lit("train").alias("tbl"), "row_id", question_of_prompt(F.col("prompt")).alias("question"), F.col("output").alias("answer")).unionByName(
-        dataset.select(F.lit("dataset").alias("tbl"), "row_id", "question", "answer")
+    """(tbl, row_id, question, answer, context) of both tables; the context has the passages."""
+    passages = F.array_join(F.transform("all_docs", lambda d: F.coalesce(d["content"], F.lit(""))), "\n")
+    return train.select(F.lit("train").alias("tbl"), "row_id", question_of_prompt(F.col("prompt")).alias("question"), F.col("output").alias("answer"), F.col("prompt").alias("context")).unionByName(
+        dataset.select(F.lit("dataset").alias("tbl"), "row_id", "question", "answer", passages.alias("context"))
     )
 
 
-def opening_clusters(rows: DataFrame, least_prompts: int = 3) -> DataFrame:
-    """(opening, cluster, n_prompts, declines): the openings whose cluster is a refusal template.
-
-    An opening counts once for each distinct question. A cluster must stand over ``least_prompts`` questions, and more
-    than half of them must have an opening that says that no answer is given."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        answers = batch.column("answer").to_pylist()
-        return pa.RecordBatch.from_arrays([pa.array([opening(a) for a in answers]), batch.column("asked")], names=["opening", "asked"])
-
-    asked = rows.where("answer is not null").select("answer", F.xxhash64("question").alias("asked"))
-    counted = map_arrow(asked, run, "opening string, asked bigint").where("length(opening) >= 4").groupBy("opening").agg(F.count_distinct("asked").alias("n_prompts"))
-    counted = table(counted, "openings").withColumn("declines", F.col("opening").rlike(_SAYS_NO.pattern.replace("['’]", ".").replace("(?:no|')?", "(?:no| )?")))
-    records = counted.select(F.lit("opening").alias("tbl"), F.xxhash64("opening").alias("rec"), F.col("opening").alias("text"))
-    links = star_links(records, 0.6)
-    ends = links.select("tbl", F.explode(F.array("rec_a", "rec_b")).alias("rec")).distinct()
-    roots = components(links, ends).select("rec", "root")
-    named = table(counted.withColumn("rec", F.xxhash64("opening")).join(roots, "rec", "left").withColumn("cluster", F.coalesce("root", "rec")), "named")
-    share = named.groupBy("cluster").agg(F.sum("n_prompts").alias("n"), F.sum(F.when(F.col("declines"), F.col("n_prompts")).otherwise(0)).alias("n_no"))
-    return named.join(share.where((F.col("n") >= least_prompts) & (F.col("n_no") * 2 > F.col("n"))), "cluster").select("opening", "cluster", "n_prompts", "declines")
-
-
-def defects(rows: DataFrame, least_prompts: int = 3) -> DataFrame:
-    """(tbl, row_id, defect), one row per defective pair of ``rows`` (tbl, row_id, question, answer).
-
-    Null answers are ``empty``. Where the question is null, no copy or wrong language is told. Repeated rows are each
-    judged; other columns are ignored. The first defect in the order of DEFECTS counts."""
-    known = opening_clusters(rows, least_prompts).select("opening").distinct().withColumn("template", F.lit(True))
-
-    def first(batch: pa.RecordBatch) -> pa.RecordBatch:
-        answers = batch.column("answer").to_pylist()
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("tbl", "row_id", "question", "answer")), pa.array([None if a is None else opening(a) for a in answers], pa.string())], names=["tbl", "row_id", "question", "answer", "opening"])
-
-    def judge(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        keep, kinds = [], []
-        for i, (q, a, t) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("question", "answer", "template")))):
-            kind = defect(q, a, bool(t))
-            if kind:
-                keep.append(i)
-                kinds.append(kind)
-        taken = batch.take(pa.array(keep, pa.int64()))
-        return pa.RecordBatch.from_arrays([taken.column("tbl"), taken.column("row_id"), pa.array(kinds, pa.string())], names=["tbl", "row_id", "defect"])
-
-    opened = map_arrow(rows.select("tbl", "row_id", "question", "answer"), first, "tbl string, row_id bigint, question string, answer string, opening string")
-    return map_arrow(opened.join(known, "opening", "left").select("tbl", "row_id", "question", "answer", "template"), judge, "tbl string, row_id bigint, defect string")
-
-
-def defect(question: str | None, answer: str | None, template: bool = False) -> str | None:
-    """The defect of one pair, or None."""
-    if is_empty(answer):
-        return "empty"
-    if question is not None and is_copy(question, answer):
-        return "copy"
-    if no_answer(question or "", answer, template):
-        return "refusal"
+_JUDGED = "tbl string, row_id bigint, settled string, otherwise string, openings array<string>, asked bigint, units array<string>"
+
+
+def judged(rows: DataFrame) -> DataFrame:
+    """The pairs that have a defect or may refuse: ``settled`` is a defect that goes before refusals, ``otherwise`` one
+    that counts if the pair isn't a refusal; ``openings`` are those of a pair without ties to its prompt. No texts."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        out = []
+        for tbl, row, q, a, context, asked in zip(*(batch.column(c).to_pylist() for c in ("tbl", "row_id", "question", "answer", "context", "asked"))):
+            settled = "empty" if is_empty(a) else "copy" if q is not None and is_copy(q, a) else None
+            otherwise = None if settled else unfinished_or_foreign(q, a)
+            found = None if settled else openings(q or "", a, context or "")
+            if settled or otherwise or found:
+                out.append((tbl, row, settled, otherwise, found, asked, asked_units(q or "") if found else None))
+        if not out:
+            return None
+        types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int64(), pa.list_(pa.string()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=[f.split()[0] for f in _JUDGED.split(", ")])
+
+    return map_arrow(rows.select("tbl", "row_id", "question", "answer", "context", F.xxhash64("question").alias("asked")), run, _JUDGED)
+
+
+def common_units(rows: DataFrame, share: float = 0.25) -> DataFrame:
+    """(unit): the words that at least that share of all questions have; at most a few for each word of a question."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        count: Counter = Counter()
+        for q in batch.column("question").to_pylist():
+            count.update(asked_units(q))
+        return pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["unit", "n"])
+
+    asked = rows.where("question is not null").select("question")
+    return map_arrow(asked, run, "unit string, n bigint").groupBy("unit").agg(F.sum("n").alias("n")).where(F.col("n") >= share * asked.count()).select("unit")
+
+
+def templates(rows: DataFrame, known: DataFrame | None = None, least_prompts: int = 3, least_share: float = 1e-4, related: float = 0.8) -> DataFrame:
+    """(opening, n_prompts, n_around, core): the openings that are templates.
+
+    An opening counts once for each distinct question (``n_prompts``). A template's core recurs, together with the openings
+    linked to it (Jaccard index of 5-grams of at least 0.6), over at least ``least_prompts`` questions and
+    ``least_share`` of all answers (``n_around``); and no word that is in fewer than a quarter of all questions is in
+    ``related`` of its questions. What is linked to a core is a template as well."""
+    known = table(judged(rows), "judged") if known is None else known
+    seen = known.where("openings is not null and settled is null").select(F.explode("openings").alias("opening"), "asked", "units").dropDuplicates(["opening", "asked"]).withColumn("rec", F.xxhash64("opening"))
+    seen = table(seen, "seen")
+    heads = seen.groupBy("rec").agg(F.min("opening").alias("opening"), F.count(F.lit(1)).alias("n_prompts"))
+    _, links = link_representatives(heads.select(F.lit("opening").alias("tbl"), "rec", F.col("opening").alias("text")), 0.6, rows=5)
+    ways = links.select(F.col("rec_a").alias("rec"), F.col("rec_b").alias("other")).unionByName(links.select(F.col("rec_b").alias("rec"), F.col("rec_a").alias("other")))
+    near = table(ways.unionByName(heads.select("rec", F.col("rec").alias("other"))), "near")
+    met = near.groupBy("other").agg(F.count(F.lit(1)).alias("_n"))
+    sized = table(heads.join(met.withColumnRenamed("other", "rec"), "rec").select(F.col("rec").alias("other"), "n_prompts", "_n"), "sized")
+    around = salted_join(near, sized, ["other"], ["rec"], "_n").groupBy("rec").agg(F.sum("n_prompts").alias("n_around"))
+    least = max(least_prompts, least_share * rows.where("answer is not null").count())
+    often = table(around.where(F.col("n_around") >= least), "often")
+    words = table(seen.select(F.col("rec").alias("other"), F.explode("units").alias("unit")).groupBy("other", "unit").agg(F.count(F.lit(1)).alias("n")).join(common_units(rows), "unit", "left_anti"), "words")
+    reach = table(near.join(often, "rec"), "reach")
+    # the words of an opening are as many as its questions have; what stands around it sums them before the shuffle
+    shares = reach.join(words, "other").groupBy("rec", "unit").agg(F.sum("n").alias("n"), F.first("n_around").alias("n_around"))
+    same = shares.where(F.col("n") >= related * F.col("n_around")).select("rec").distinct()
+    core = table(often.join(same, "rec", "left_anti"), "core")
+    found = reach.join(core.select("rec"), "rec", "left_semi").select(F.col("other").alias("rec")).distinct()
+    return heads.join(found, "rec").join(core.withColumn("core", F.lit(True)), "rec", "left").select("opening", "n_prompts", "n_around", F.coalesce("core", F.lit(False)).alias("core"))
+
+
+def defects(rows: DataFrame, least_prompts: int = 3, least_share: float = 1e-4) -> DataFrame:
+    """(tbl, row_id, defect), one row per defective pair of ``rows`` (tbl, row_id, question, answer, context).
+
+    Null answers are ``empty``. Where the question is null, no copy or wrong language is told; where the context is null,
+    ties are looked for in the question alone. Repeated rows are each judged; other columns are ignored. The first defect
+    in the order of DEFECTS counts. Refusals need recurrence: in a small table, those that hardly recur aren't found."""
+    known = table(judged(rows).withColumn("_row", F.monotonically_increasing_id()), "judged")
+    found = templates(rows, known, least_prompts, least_share).select("opening")
+    apart = known.where("openings is not null and settled is null").select("_row", F.explode("openings").alias("opening"))
+    sized = table(apart.groupBy("opening").agg(F.count(F.lit(1)).alias("_n")).join(found, "opening"), "templates")
+    told = salted_join(apart, sized, ["opening"], ["_row"], "_n").groupBy("_row").agg(F.count(F.lit(1)).alias("_told"))
+    kind = F.coalesce("settled", F.when(F.col("_told") == F.size("openings"), F.lit("refusal")), "otherwise")
+    return known.join(told, "_row", "left").select("tbl", "row_id", kind.alias("defect")).where("defect is not null")
+
+
+def unfinished_or_foreign(question: str | None, answer: str) -> str | None:
     if question is not None:
         asked, given = main_language(unlabelled(question)), main_language(answer)
         if asked and given and asked != given:
             return "wrong_language"
         answer = answer.strip().removeprefix(unlabelled(question.strip())) or answer  # a bare answer may follow the question
     return "truncated" if is_truncated(answer) else None
+
+
+def defect(question: str | None, answer: str | None) -> str | None:
+    """The defect of one pair by itself, or None; refusals are told by ``defects`` only."""
+    if is_empty(answer):
+        return "empty"
+    if question is not None and is_copy(question, answer):
+        return "copy"
+    return unfinished_or_foreign(question, answer)

@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from longreach import runtime
 from longreach.llm import near_dup as N
 
 WORDS = [f"w{i:03d}" for i in range(400)]
@@ -75,6 +76,8 @@ def test_exact_similarity(n):
 def test_posterior_is_monotonous():
     assert N.least_matches(0.7, 1e-4, 56) < N.least_matches(0.9, 1e-4, 56)
     assert N.least_matches(0.7, 1e-4, 448) / 448 > N.least_matches(0.7, 1e-4, 56) / 56
+    least = N._least(0.7, 1e-4, 64)
+    assert least[16] < least[32] < least[64] and least[64] == N.least_matches(0.7, 1e-4, 64)  # short texts are pruned less
 
 
 def test_components_of_a_chain(spark):
@@ -84,7 +87,7 @@ def test_components_of_a_chain(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 200: 200}
 
 
-def test_star_links_at_the_threshold(spark):
+def test_links_at_the_threshold(spark):
     rnd = random.Random(4)
     some = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
     rows = []
@@ -93,13 +96,35 @@ def test_star_links_at_the_threshold(spark):
         b = a[:48] + some(16)
         rows += [("a", 3 * i, a), ("a", 3 * i + 1, a[:50] + b[50:]), ("a", 3 * i + 2, b[:40])]
     want = {(x, y) for i in range(200) for x, y in ((3 * i, 3 * i + 1), (3 * i, 3 * i + 2), (3 * i + 1, 3 * i + 2)) if jaccard(rows[x][2], rows[y][2]) >= 0.6}
-    got = N.components(N.star_links(frame(spark, rows), 0.6), frame(spark, rows).select("tbl", "rec"))
-    root = {r["rec"]: r["root"] for r in got.collect()}
-    assert len(want) >= 200 and sum(root[a] == root[b] for a, b in want) >= 0.97 * len(want)
-
-
-def test_star_links_beside_the_smallest_record(spark, monkeypatch):
-    rows = [("a", 1, "nothing that the others have in common"), ("a", 2, "the passages do not say who bought the wool"), ("a", 3, "the passages do not say who bought the wood"), ("a", 4, "visitors reach the town by boat"), ("a", 5, "visitors reach the town by boats")]
-    signed = spark.createDataFrame([(t, r, [7, 8]) for t, r, _ in rows], "tbl string, rec bigint, keys array<bigint>")
-    monkeypatch.setattr(N, "sign", lambda records, n: signed)  # all in the same two buckets
-    assert sorted((r["rec_a"], r["rec_b"]) for r in N.star_links(frame(spark, rows), 0.6).collect()) == [(2, 3), (4, 5)]
+    got = {(r["rec_a"], r["rec_b"]) for r in N.link_representatives(frame(spark, rows), 0.6, rows=5)[1].collect()}
+    assert len(want) >= 200 and got <= want and len(got) >= 0.97 * len(want)
+
+
+def test_bucket_of_a_third_of_all_rows(spark, monkeypatch):
+    """Hot buckets, hubs and classes in parts: the same pairs as brute force."""
+    rnd = random.Random(8)
+    base = [rnd.choice(WORDS) for _ in range(60)]
+    hot = [" ".join(base[:i] + [rnd.choice(WORDS)] + base[i + 1 :]) for i in range(60)] + [" ".join(base)] * 20
+    rows = [("a", i, t) for i, t in enumerate(hot + corpus(5, 50))]
+    want = {(x[1], y[1]) for x in rows for y in rows if x[1] < y[1] and (jaccard(x[2], y[2]) or 0) >= 0.7}
+    monkeypatch.setattr(N, "TILE", 7)
+    monkeypatch.setattr(N, "SALTED", 4)
+    monkeypatch.setattr(runtime, "HOT", 5)
+    monkeypatch.setattr(runtime, "PARTS", 16)
+    got = [(r["rec_a"], r["rec_b"]) for r in N.similar_pairs(frame(spark, rows, extra=True)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 3000
+    groups = {r["rec"]: r for r in N.groups(frame(spark, rows)).collect()}
+    assert len({groups[i]["group_id"] for i in range(80)}) == 1
+    assert all(groups[i]["n_copies"] == 20 for i in range(60, 80))
+
+
+def test_unlike_texts_of_a_bucket_leave_no_pairs(spark):
+    """The first step drops them before anything is shuffled."""
+    rnd = random.Random(9)
+    texts = [" ".join(rnd.choice(WORDS) for _ in range(60)) for _ in range(40)]
+    keys, filled = N.band_keys([N.normal(t) for t in texts], 5)
+    sketch = [bytes(k.view("u1").reshape(N.BANDS, 8)[:, 0]) for k in keys]
+    rows = [("a", i, 40, int(filled[i]), bytearray(sketch[i])) for i in range(40)]
+    df = spark.createDataFrame(rows, "tbl string, rec bigint, n bigint, filled int, sketch binary")
+    met = N.tiled_pairs(df, ["tbl"], "rec", "n", ("filled", "sketch"))
+    assert met.count() == 780 and N._prune_sketches(met, 0.7, 1e-4).count() < 20

@@ -294,7 +294,6 @@ WHOLE = "The Trust bought its timber from merchants of Ylllobest. So the supplie
         (Q, None, "empty"), (Q, "", "empty"), (Q, " \t\n", "empty"), (Q, "N/A", "empty"), (Q, "Final answer:", "empty"), (ZQ, "答案：", "empty"), (ZQ, "……", "empty"), (Q, "None.", "empty"),
         (Q, Q, "copy"), (Q, f"You asked: {Q}", "copy"), (Q, f"{Q}\n\n{Q}", "copy"), (f"Question: {Q}", Q.lower(), "copy"), (ZQ, "您问的是：" + ZQ, "copy"), (Q, f"{Q} {WHOLE}", None), (Q, f"{Q} Ylllobest", None), (Q, "Which town the timber used by the Hardurin Trust?", "copy"),
         ("1758年盐场归菲诺里岛委员会还是托格亚岛委员会所有？", "1758年盐场归菲诺里岛委员会还是托格亚岛委员会所有？1758年的契约写明盐场的主人是托格亚岛委员会，菲诺里岛委员会只是租户。因此归托格亚岛委员会所有。", None),
-        (Q, "I'm sorry, but I don't know.", "refusal"), (Q, "Regrettably, no answer can be given on the basis of this text. Could you rephrase the question?", "refusal"), (ZQ, "抱歉，我无法回答这个问题，请换一个问题。", "refusal"),
         (Q, "Sorry for the long chain of steps; " + WHOLE, None), (ZQ, "具体日期无法确定，但其余内容很清楚。文章提到，造纸厂开办于1735年。因此答案是1735年。", None),
         (Q, "Es war Kellos Sabnepharia, der das Gebäude im Jahr 1469 wieder aufbauen ließ.", "wrong_language"), (ZQ, WHOLE, "wrong_language"), (Q, "第一段只提到地面使用丝线。1940年的账单补充说，屋顶用的是橄榄油。", "wrong_language"),
         (Q, WHOLE[:-12], "truncated"), (Q, WHOLE + " It was sold,", "truncated"), (ZQ, "文章提到，造纸厂开办于1735年。因此答案是", "truncated"),
@@ -305,18 +304,45 @@ def test_defects(question, answer, kind):
     assert pair_defects.defect(question, answer) == kind
 
 
-def test_templates_find_wordings_that_the_list_lacks(spark):
+def pairs_of(spark):
+    """Refusals over unrelated prompts, in wordings of no list; bare answers that recur over related prompts; decoys."""
     rnd = random.Random(1)
-    rows = [("t", i, f"Question {i}?", "Regrettably, the passages do not say anything about this matter here.") for i in range(30)]
-    rows += [("t", 100, "Question 100?", "Regrettably, the passages do say anything about this matter here."), ("t", 101, "Question 101?", WHOLE), ("t", 102, None, None)]
-    rows += [("d", i, f"Question {i}?", "Visitors usually reach Harlova from Quenrorin. " + WHOLE) for i in range(30)]
+    asks = ["Which town supplied the timber of {}?", "Who paid for the roads near {}?", "Why was {} left empty?", "When did {} reopen?", "Where was the first guide of {} printed?", "卡斯港{}的水渠由谁修建？"]
+    name = lambda: "".join(rnd.choice(["bel", "dos", "kar", "lim", "ost", "ven"]) for _ in range(4)).capitalize()
+    ask = lambda: rnd.choice(asks).format(name())
+    rows = [("t", i, ask(), "Such matters lie outside my remit, friend." if i % 2 else "Ich kann dazu leider nichts sagen.") for i in range(40)]
+    rows += [("t", 40 + i, ask(), "Such matters lie outside my remits.") for i in range(2)] + [("t", 42, ask(), "此事超出本助手的答复范围。"), ("t", 43, ask(), "此事超出本助手的答复范围"), ("t", 44, ask(), "此事超出本助手的答复范围！")]
+    refused = {("t", i) for i in range(45)}
+    rows += [("t", 100, ask(), f"Such matters lie outside my remit, but the register says {name()} paid 30 crowns."), ("t", 101, ask(), WHOLE), ("t", 102, None, None)]
+    rows += [("d", i, f"Why was the road to {name()} closed in the war?", "The bridge fell") for i in range(30)]
+    rows += [("d", 100 + i, ask(), f"Sorry for the long chain of steps; so the answer is {q.split()[-1]}") for i, q in ((i, "Passages about Ylllobest") for i in range(30))]
+    rows += [("d", 200 + i, ask(), f"It was {name()}.") for i in range(60)]
     rnd.shuffle(rows)
-    df = spark.createDataFrame(rows, "tbl string, row_id bigint, question string, answer string").selectExpr("*", "1 as opening", "2 as template")
+    df = spark.createDataFrame([(*r, f"Passages about {r[2]} and Ylllobest: the bridge stood.") for r in rows], "tbl string, row_id bigint, question string, answer string, context string")
+    return df.selectExpr("*", "1 as opening", "2 as template"), refused
+
+
+def test_recurrence_reveals_refusals(spark):
+    df, refused = pairs_of(spark)
     got = {(r["tbl"], r["row_id"]): r["defect"] for r in pair_defects.defects(df).collect()}
-    assert got == {**{("t", i): "refusal" for i in range(30)}, ("t", 100): "refusal", ("t", 102): "empty"}
+    assert {k for k, v in got.items() if v == "refusal"} == refused
+    assert got.pop(("t", 102)) == "empty" and set(got) == refused
     assert pair_defects.defects(df.limit(0)).count() == 0
 
 
+def test_templates_need_unrelated_prompts(spark):
+    df, _ = pairs_of(spark)
+    found = {r["opening"]: r for r in pair_defects.templates(df).collect()}
+    assert found["such matters lie outside my remit"]["core"] and not found["such matters lie outside my remits"]["n_prompts"] > 2
+    assert "the bridge fell" not in found
+    assert pair_defects.templates(df, least_prompts=100).count() == 0
+
+
+@pytest.mark.parametrize("answer, found", [("Paid in 1820", None), ("It was the Hardurin Trust", None), (Q, None), ("Not said here, I fear.", ["i fear", "not said here"]), (f"{Q} Not said here.", ["not said here"]), ("timber", None), ("", None)])
+def test_openings(answer, found):
+    assert pair_defects.openings(Q, answer, "The Hardurin Trust bought timber.") == found
+
+
 # ---- tokens ------------------------------------------------------------------------------------------------------
 
 
