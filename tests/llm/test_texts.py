@@ -13,9 +13,9 @@ from longreach.llm.text import code_points
 def tables(text, size):
     for k in range(0, max(1, len(text)), size):
         body = text[k : k + size]
-        ends_c, ends_b, chars, n = splitter.boundary_table(body, text[k + size : k + size + 1])
-        table = None if n == chars else np.concatenate([[0], np.cumsum(np.frombuffer(splitter.code_widths(body), np.uint8), dtype=np.int64)])
-        yield ends_c, ends_b, chars, n, table
+        ends_c, ends_b, chars, n, run_c, run_w = splitter.boundary_table(body, text[k + size : k + size + 1])
+        assert n == len(body.encode())
+        yield ends_c.tolist(), ends_b.tolist(), chars, n, splitter.widths_of(run_c, run_w)
 
 
 def test_pieces_by_random_texts():
@@ -68,6 +68,26 @@ def test_pieces_of_files(spark, tmp_path):
     assert [r[:4] for r in got if r[0] == 1] == [(1, 0, 0, len(texts[1]))]
 
 
+def test_long_stretches_over_many_ranges(spark):
+    rows = [(1, "x. " * 400 + "y" * 2000 + "\n" + "z. " * 400, 0.25), (2, "x. " * 2000, 0.25), (3, "汉" * 700 + "。" + "字" * 600, 0.25)]
+    df = spark.createDataFrame(rows, "rec bigint, text string, rate double")
+    got = {r["rec"]: r["forced"] for r in splitter.pieces(df, 480, 16, range_chars=37).collect()}
+    assert got == {1: True, 2: False, 3: True}
+
+
+def test_time_is_linear_in_the_text(spark):
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([(1, "Some words of a sentence, 汉字。 " * n, 0.25)], "rec bigint, text string, rate double")
+        began = time.time()
+        assert splitter.pieces(df, 512, 32).count() > n // 90
+        return time.time() - began
+
+    seconds(1000)
+    assert seconds(400_000) < 8 * seconds(100_000) + 2  # 4 and 16 MB
+
+
 def test_null_keys_have_no_pieces(spark):
     df = spark.createDataFrame([(None, "word. " * 500, 0.25), (None, "other. " * 500, 0.25)], "rec bigint, text string, rate double")
     assert splitter.pieces(df, 64, 8).count() == 0
@@ -315,7 +335,7 @@ def pairs_of(spark):
     refused = {("t", i) for i in range(45)}
     rows += [("t", 100, ask(), f"Such matters lie outside my remit, but the register says {name()} paid 30 crowns."), ("t", 101, ask(), WHOLE), ("t", 102, None, None)]
     rows += [("d", i, f"Why was the road to {name()} closed in the war?", "The bridge fell") for i in range(30)]
-    rows += [("d", 100 + i, ask(), f"Sorry for the long chain of steps; so the answer is {q.split()[-1]}") for i, q in ((i, "Passages about Ylllobest") for i in range(30))]
+    rows += [("d", 100 + i, ask(), f"Sorry for the long chain of steps; so the answer is {q.split()[-1]}.") for i, q in ((i, "Passages about Ylllobest") for i in range(30))]
     rows += [("d", 200 + i, ask(), f"It was {name()}.") for i in range(60)]
     rnd.shuffle(rows)
     df = spark.createDataFrame([(*r, f"Passages about {r[2]} and Ylllobest: the bridge stood.") for r in rows], "tbl string, row_id bigint, question string, answer string, context string")
