@@ -236,7 +236,7 @@ def _forced(tables: DataFrame, limit: Column) -> DataFrame:
         return F.struct(F.when(s["head"].isNull(), joined).otherwise(big(s["tail"])).alias("open"), F.greatest(acc["most"], joined, big(s["inside"])).alias("most"))
 
     folded = row.groupBy("rec").agg(F.first("_limit").alias("_limit"), F.array_sort(F.collect_list("s")).alias("s"))
-    return folded.select("rec", (F.aggregate("s", start, step, lambda acc: acc["most"]) > F.col("_limit")).alias("forced"))
+    return folded.select("rec", (F.aggregate("s", start, step, lambda acc: F.greatest(acc["most"], acc["open"])) > F.col("_limit")).alias("forced"))
 
 
 def _stitched(tables: DataFrame, limit_tokens: int, overlap_tokens: int) -> DataFrame:

@@ -69,10 +69,10 @@ def test_pieces_of_files(spark, tmp_path):
 
 
 def test_long_stretches_over_many_ranges(spark):
-    rows = [(1, "x. " * 400 + "y" * 2000 + "\n" + "z. " * 400, 0.25), (2, "x. " * 2000, 0.25), (3, "汉" * 700 + "。" + "字" * 600, 0.25)]
+    rows = [(1, "x. " * 400 + "y" * 2000 + "\n" + "z. " * 400, 0.25), (4, "z. " * 400 + "y" * 2000, 0.25), (2, "x. " * 2000, 0.25), (3, "汉" * 700 + "。" + "字" * 600, 0.25)]
     df = spark.createDataFrame(rows, "rec bigint, text string, rate double")
     got = {r["rec"]: r["forced"] for r in splitter.pieces(df, 480, 16, range_chars=37).collect()}
-    assert got == {1: True, 2: False, 3: True}
+    assert got == {1: True, 2: False, 3: True, 4: True}
 
 
 def test_time_is_linear_in_the_text(spark):
