@@ -1,32 +1,36 @@
 """Evaluation items that stand in corpus documents, wholly or partly.
 
-Texts are reduced to letters and digits in lower case. Items are cut into windows at every offset, documents into
-windows side by side, half as long as the run looked for: any shared run then holds a whole window of the document.
-Each window is embedded by CGK random walks (Chakraborty, Goldenberg, Koucky 2016): a walk reads a character, writes it,
-and steps on or not by a random function of step and character, so that windows at a small edit distance give strings
-at a small Hamming distance. Of each walk a few positions are sampled as a key; ``repeats`` walks with samples of their
-own reach the target recall for windows within ``edits`` edits. Windows that share a key are verified exactly on the
-texts: by the length of the shared run (edits = 0), or by the edit distance of item-sized stretches around them.
-
-The items are few and fixed. They are broadcast in blocks of at most BLOCK_CHARS characters; with more items, the
-documents are passed over once per block, so nothing that is broadcast grows with the data.
+1. Texts are reduced to letters and digits in lower case. Items are cut into windows at every offset, documents into
+   windows side by side, half as long as the run looked for: any shared run then holds a whole window of the document.
+2. Each window is embedded by CGK random walks (Chakraborty, Goldenberg, Koucky 2016): a walk reads a character, writes it,
+   and steps on or not by a random function of step and character, so that windows at a small edit distance give strings
+   at a small Hamming distance. Of each walk a few positions are sampled as a key; ``repeats`` walks with samples of their
+   own reach the target recall for windows within ``edits`` edits.
+3. The keys of items and documents are tables and meet in a join, in parts where a key is hot. A bit table of the items'
+   keys, of a fixed size, keeps document windows out of the shuffle that no item can meet; it loses none.
+4. Windows that share a key, for their first one in common, are verified on the stretches around them: by the edit distance
+   of item-sized stretches, and with ``exact`` also by the length of the shared run.
+
+Nothing of items or documents is held by the driver.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass
+from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import salted_join, table
 from .text import code_points, map_arrow
 
-BLOCK_CHARS = 4_000_000
+FILTER_BITS = 25  # the bit table has 2 to that power: 4 MB
 SAMPLED = 8  # positions of a walk in a key
 _OTHER = re.compile(r"[\W_]+")
 
@@ -35,7 +39,7 @@ def reduced(text: str) -> str:
     return _OTHER.sub("", text.lower())
 
 
-def repeats_for(edits: int, window: int, recall: float) -> int:
+def repeats_for(edits: float, window: int, recall: float) -> int:
     """Walks needed so that a window within ``edits`` edits shares a key with probability ``recall``: per edit, a walk
     differs in about 2 positions before it falls into step again, and a sample must miss all of them."""
     if edits == 0:
@@ -75,51 +79,45 @@ def cgk_keys(points: np.ndarray, starts: np.ndarray, window: int, repeat: int) -
     return key
 
 
-@dataclass(frozen=True)
-class Block:
-    """A lookup table over the windows of some items of one script."""
+class Search(NamedTuple):
+    """What is looked for in one language."""
 
-    window: int
+    lang: str
     run: int
-    repeats: int
     edits: int
-    texts: list[str]
-    owners: list[list[int]]  # item ids that have the text
-    keys: np.ndarray  # sorted
-    places: np.ndarray  # text << 32 | offset
-    starts: np.ndarray  # of each bucket of the top 16 bits, for a first cut
-    ascii_only: bool
-
-
-def build_block(texts: dict[str, list[int]], run: int, edits: int, recall: float) -> Block | None:
-    window = max(1, (run + 1) // 2)
-    kept = [t for t in texts if len(t) >= run]
-    if not kept:
-        return None
-    repeats = repeats_for(edits, window, recall)
-    points, lengths = code_points(kept)
+    repeats: int
+
+    @property
+    def window(self) -> int:
+        return max(1, (self.run + 1) // 2)
+
+
+def window_keys(texts: list[str], search: Search, step: int, wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text and offset of each window, ``step`` characters apart, and its keys (repeats x windows). ``wide``: only
+    windows with a character beyond ASCII."""
+    w = search.window
+    points, lengths = code_points(texts)
     begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    where = np.concatenate([np.arange(n - window + 1) for n in lengths])
-    which = np.repeat(np.arange(len(kept)), lengths - window + 1)
-    starts = begin[which] + where
-    keys = np.concatenate([cgk_keys(points, starts, window, r) for r in range(repeats)])
-    places = np.tile(which.astype(np.int64) << 32 | where, repeats)
-    order = np.argsort(keys, kind="stable")
-    blank = all(any(ord(c) > 127 for c in t[i : i + window]) for t in kept for i in range(len(t) - window + 1))
-    present = np.zeros(1 << 22, bool)
-    present[(keys >> np.uint64(42)).astype(np.int64)] = True
-    return Block(window, run, repeats, edits, kept, [texts[t] for t in kept], keys[order], places[order], present, not blank)
-
-
-def shared_run(doc: str, item: str, d: int, i: int, window: int) -> tuple[int, int]:
-    """Start in the document and length of the longest shared run that holds the aligned windows at d and i."""
+    count = np.maximum(0, (lengths - w) // step + 1)
+    which = np.repeat(np.arange(len(texts)), count)
+    offset = (np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)) * step
+    starts = begin[which] + offset
+    if wide:
+        beyond = np.concatenate([[0], np.cumsum(points > 127)])
+        keep = beyond[starts + w] > beyond[starts]
+        which, offset, starts = which[keep], offset[keep], starts[keep]
+    return which, offset, np.stack([cgk_keys(points, starts, w, r) for r in range(search.repeats)]).view(np.int64)
+
+
+def shared_run(doc: str, item: str, d: int, i: int, window: int) -> int:
+    """Length of the longest shared run that holds the aligned windows at d and i."""
     left = 0
     while d - left > 0 and i - left > 0 and doc[d - left - 1] == item[i - left - 1]:
         left += 1
     right = window
     while d + right < len(doc) and i + right < len(item) and doc[d + right] == item[i + right]:
         right += 1
-    return d - left, left + right
+    return left + right
 
 
 def furthest(a: str, b: str, most: int) -> list[int]:
@@ -155,108 +153,113 @@ def within_edits(doc: str, item: str, d: int, i: int, run: int, most: int) -> bo
     return any(left[e] + right[most - e] >= run for e in range(most + 1))
 
 
-def _matches(docs: list[str], block: Block) -> list[tuple[int, int, int]]:
-    """(document, text of the block, characters shared) of verified matches, the longest per pair."""
-    w = block.window
-    use = [k for k, t in enumerate(docs) if len(t) >= (block.run if not block.edits else w) and (block.ascii_only or not t.isascii())]
-    if not use:
-        return []
-    points, lengths = code_points([docs[k] for k in use])
-    begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    count = lengths // w
-    which = np.repeat(np.arange(len(use)), count)
-    offset = (np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)) * w
-    starts = begin[which] + offset
-    if not block.ascii_only:
-        wide = np.concatenate([[0], np.cumsum(points > 127)])
-        keep = wide[starts + w] > wide[starts]
-        which, offset, starts = which[keep], offset[keep], starts[keep]
-    found: dict[tuple[int, int], int] = {}
-    seen: set[tuple[int, int, int, int]] = set()
-    for r in range(block.repeats):
-        keys = cgk_keys(points, starts, w, r)
-        maybe = np.flatnonzero(block.starts[(keys >> np.uint64(42)).astype(np.int64)])
-        low = np.searchsorted(block.keys, keys[maybe], "left")
-        high = np.searchsorted(block.keys, keys[maybe], "right")
-        for m in np.flatnonzero(high > low):
-            n = int(maybe[m])
-            k, d = use[which[n]], int(offset[n])
-            doc = docs[k]
-            for place in block.places[low[m] : high[m]]:
-                text, i = int(place) >> 32, int(place) & 0xFFFFFFFF
-                item = block.texts[text]
-                if block.edits:
-                    mark = (k, text, d, i)
-                    if (k, text) in found or mark in seen:
-                        continue
-                    seen.add(mark)
-                    if within_edits(doc, item, d, i, block.run, block.edits):
-                        found[k, text] = block.run
-                    continue
-                if doc[d : d + w] != item[i : i + w]:
-                    continue
-                s, n_run = shared_run(doc, item, d, i, w)
-                mark = (k, text, s, i - d)
-                if mark not in seen:
-                    seen.add(mark)
-                    if n_run >= block.run and n_run > found.get((k, text), 0):
-                        found[k, text] = n_run
-    return [(k, text, n) for (k, text), n in found.items()]
-
-
-def leaks(documents: DataFrame, items: DataFrame, runs: dict[str, int], edits: float = 0.0, recall: float = 0.95) -> DataFrame:
-    """(doc_id, item_id, n_shared) of the documents that share with the passage or the question of an item a run of at
-    least ``runs[lang of the item]`` letters and digits; with ``edits``, a stretch of that length within that
-    share of its length in edits. ``n_shared`` is the longest shared run (with edits, the length looked for).
+_WINDOWS = "lang string, key bigint, rep int, owner bigint, at int, stretch string, keys array<bigint>"
+
+
+def _windows(rows: list[tuple], search: Search) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int64()))
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types]
+    return pa.RecordBatch.from_arrays([pa.array([search.lang] * len(rows)), *columns], names=[f.split()[0] for f in _WINDOWS.split(", ")])
+
+
+def _batches(ids: list[int], texts: list[str], most: int = 400_000) -> Iterator[tuple[list[int], list[str]]]:
+    start = 0
+    while start < len(texts):
+        end, size = start, 0
+        while end < len(texts) and (end == start or size + len(texts[end]) <= most):
+            size += len(texts[end])
+            end += 1
+        yield ids[start:end], texts[start:end]
+        start = end
+
+
+def _bits(keys: DataFrame) -> np.ndarray:
+    """The bit table of all keys: bit k is set where some key has k as its upper FILTER_BITS bits. Combined before the
+    shuffle; what comes to the driver is bounded by the table's size."""
+    upper = F.shiftrightunsigned("key", 64 - FILTER_BITS)
+    words = keys.groupBy(F.shiftright(upper, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(upper, F.lit(64)).cast("int"))).alias("b")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[np.asarray(words.column("w"))] = np.asarray(words.column("b"))
+    return out.view(np.uint64)
+
+
+def leaks(documents: DataFrame, items: DataFrame, runs: dict[str, int], edits: float = 0.0, recall: float = 0.95, exact: bool = False) -> DataFrame:
+    """(doc_id, item_id), each once, of the documents that share with the passage or the question of an item a stretch of
+    ``runs[lang of the item]`` letters and digits within ``edits`` times its length in edits, one at least. With ``exact``,
+    the stretch must be the same in both; the walks are those for the edits, and windows that are the same share all keys.
 
     ``documents`` has (doc_id, text), ``items`` (item_id, lang, passage, question); other columns are ignored. Null
-    and short texts match nothing; items of a language without a run are left out; each repeated row is reported. A
+    and short texts match nothing; items of a language without a run are left out; repeated rows count once. A
     document of any length is read whole."""
-    rows = items.where(F.col("lang").isin(*runs)).select("item_id", "lang", "passage", "question").orderBy("item_id").toLocalIterator()
-    blocks: list[list[Block]] = []
-    texts: dict[str, dict[str, list[int]]] = {}
-    size = 0
-
-    def close() -> None:
-        nonlocal texts, size
-        built = [b for lang, t in texts.items() if (b := build_block(t, runs[lang], int(edits * runs[lang]), recall)) is not None]
-        if built:
-            blocks.append(built)
-        texts, size = {}, 0
-
-    for row in rows:
-        for t in (row["passage"], row["question"]):
-            if t is not None and (t := reduced(t)):
-                owners = texts.setdefault(row["lang"], {}).setdefault(t, [])
-                if row["item_id"] not in owners:
-                    owners.append(row["item_id"])
-                size += len(t)
-        if size > BLOCK_CHARS:
-            close()
-    close()
-    spark = documents.sparkSession
-    out = spark.createDataFrame([], "doc_id bigint, item_id bigint, n_shared bigint")
-    for built in blocks:
-        shared = spark.sparkContext.broadcast(built)
-
-        def run(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch | None:
-            ids = batch.column("doc_id").to_pylist()
-            texts = ["" if t is None else reduced(t) for t in batch.column("text").to_pylist()]
-            best: dict[tuple[int, int], int] = {}
-            start = 0
-            while start < len(texts):
-                end, size = start, 0
-                while end < len(texts) and (end == start or size + len(texts[end]) <= 400_000):
-                    size += len(texts[end])
-                    end += 1
-                for block in shared.value:
-                    for k, text, n in _matches(texts[start:end], block):
-                        for item in block.owners[text]:
-                            best[start + k, item] = max(n, best.get((start + k, item), 0))
-                start = end
-            if not best:
-                return None
-            return pa.RecordBatch.from_arrays([pa.array([ids[k] for k, _ in best], pa.int64()), pa.array([i for _, i in best], pa.int64()), pa.array(list(best.values()), pa.int64())], names=["doc_id", "item_id", "n_shared"])
-
-        out = out.unionByName(map_arrow(documents.select("doc_id", "text"), run, "doc_id bigint, item_id bigint, n_shared bigint")) if len(blocks) > 1 else map_arrow(documents.select("doc_id", "text"), run, "doc_id bigint, item_id bigint, n_shared bigint")
-    return out
+    searches = []
+    for lang, run in sorted(runs.items()):
+        most = max(1, int(edits * run))
+        # a window is half a stretch: three quarters of the edits are more than what falls into most of them
+        searches.append(Search(lang, run, most, repeats_for(max(1.0, most * 0.75), max(1, (run + 1) // 2), recall)))
+
+    def reduce_items(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column("item_id"), batch.column("lang"), pa.array([reduced(t) for t in batch.column("text").to_pylist()])], names=["item_id", "lang", "text"])
+
+    rows = items.where(F.col("lang").isin(*runs) & F.col("item_id").isNotNull()).select("item_id", "lang", F.explode(F.array("passage", "question")).alias("text")).where("text is not null")
+    owners = table(map_arrow(rows, reduce_items, "item_id bigint, lang string, text string").distinct().withColumn("owner", F.xxhash64("lang", "text")), "owners")
+
+    def item_windows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for search in searches:
+            use = [(o, t) for o, la, t in zip(*(batch.column(c).to_pylist() for c in ("owner", "lang", "text"))) if la == search.lang and len(t) >= search.run]
+            for ids, texts in _batches([o for o, _ in use], [t for _, t in use], 50_000):
+                which, offset, keys = window_keys(texts, search, 1, False)
+                stretch = [texts[k][max(0, i - search.run) : i + search.run] for k, i in zip(which.tolist(), offset.tolist())]
+                own = keys.T.tolist()
+                for r in range(search.repeats):
+                    yield _windows([(k[r], r, ids[j], min(i, search.run), st, k) for k, j, i, st in zip(own, which.tolist(), offset.tolist(), stretch)], search)
+
+    flat = owners.select("owner", "lang", "text").distinct()
+    places = table(flat.mapInArrow(lambda batches: (b for batch in batches if batch.num_rows for b in item_windows(batch)), _WINDOWS), "places")
+    bits = _bits(places.select("key"))
+    # whether a language has windows of ASCII only; without, those of documents needn't be looked at
+    plain = {r["lang"] for r in places.where(F.col("stretch").rlike("[\\x00-\\x7f]{%d}" % min(s.window for s in searches))).select("lang").distinct().collect()} if searches else set()
+    shared = documents.sparkSession.sparkContext.broadcast(bits)  # 2^FILTER_BITS bits
+
+    def document_windows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        every = [(d, reduced(t)) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) if t is not None and d is not None]
+        for search in searches:
+            wide = search.lang not in plain
+            w, reach = search.window, search.run + search.edits
+            use = [(d, t) for d, t in every if len(t) >= w and not (wide and t.isascii())]
+            for ids, texts in _batches([d for d, _ in use], [t for _, t in use]):
+                which, offset, keys = window_keys(texts, search, w, wide)
+                upper = keys.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+                rep, at = np.nonzero(shared.value[(upper >> np.uint64(6)).astype(np.int64)] >> (upper & np.uint64(63)) & np.uint64(1))
+                if len(at):
+                    out = []
+                    for r, a in zip(rep.tolist(), at.tolist()):
+                        k, d = which[a], int(offset[a])
+                        out.append((int(keys[r, a]), r, ids[k], min(d, reach), texts[k][max(0, d - reach) : d + reach], keys[: r + 1, a].tolist()))
+                    yield _windows(out, search)
+
+    hits = documents.select("doc_id", "text").mapInArrow(lambda batches: (b for batch in batches if batch.num_rows for b in document_windows(batch)), _WINDOWS)
+    hits = table(hits, "hits").select("lang", "key", "rep", F.col("owner").alias("doc_id"), F.col("at").alias("d"), F.col("stretch").alias("doc"), F.col("keys").alias("doc_keys"))
+    met = ["lang", "rep", "key"]
+    counts = hits.groupBy(*met).agg(F.count(F.lit(1)).alias("_n"))
+    wanted = table(places.select(*met, "owner", F.col("at").alias("i"), F.col("stretch").alias("item"), F.col("keys").alias("item_keys")).join(counts, met), "wanted")
+    by_lang = {s.lang: s for s in searches}
+
+    def verify(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        found: set[tuple[int, int]] = set()
+        columns = ("lang", "rep", "doc_id", "owner", "d", "i", "doc", "item", "doc_keys", "item_keys")
+        for lang, rep, doc_id, owner, d, i, doc, item, dk, ik in zip(*(batch.column(c).to_pylist() for c in columns)):
+            search = by_lang[lang]
+            if (doc_id, owner) in found or exact and doc[d : d + search.window] != item[i : i + search.window]:
+                continue
+            if any(map(int.__eq__, dk[:rep], ik)):
+                continue  # verified at an earlier walk
+            if exact and shared_run(doc, item, d, i, search.window) < search.run:
+                continue
+            if within_edits(doc, item, d, i, search.run, search.edits):
+                found.add((doc_id, owner))
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["doc_id", "owner"]) if found else None
+
+    pairs = salted_join(hits, wanted, met, ["doc_id", "d"], "_n").select("lang", "rep", "doc_id", "owner", "d", "i", "doc", "item", "doc_keys", "item_keys")
+    verified = table(map_arrow(pairs, verify, "doc_id bigint, owner bigint").distinct(), "verified")
+    sized = owners.join(verified.groupBy("owner").agg(F.count(F.lit(1)).alias("_n")), "owner").select("owner", "item_id", "_n")
+    return salted_join(verified, table(sized, "sized"), ["owner"], ["doc_id"], "_n").select("doc_id", "item_id").distinct()
