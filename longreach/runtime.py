@@ -77,14 +77,14 @@ HOT, PARTS = 10_000, 1024  # rows of a key above which a join is salted; parts t
 
 
 def salted_join(rows: DataFrame, values: DataFrame, key: list[str], by: list[str], size: str, hot: int | None = None) -> DataFrame:
-    """Inner join of ``rows`` with ``values``, which has one row per ``key`` and in ``size`` how many rows have it.
+    """Inner join of ``rows`` with ``values``, which has few rows per ``key`` and in ``size`` how many of the other have it.
 
     Rows of a key with more than HOT rows are spread by a hash of ``by`` over parts of about HOT rows, and its values
     are copied once per part, so that no task gets all rows of a key whatever the plan. Where no key is hot, it is a plain
     join. Hot keys are told to the rows by PARTS copies of each: they are a small part of what they stand for, and they
     are joined, not broadcast. ``size`` may count fewer rows than there are, as long as it grows with them."""
     hot = HOT if hot is None else hot
-    many = values.where(F.col(size) > hot).select(*key, F.ceil(F.col(size) / hot).cast("int").alias("_parts"))
+    many = values.where(F.col(size) > hot).select(*key, F.ceil(F.col(size) / hot).cast("int").alias("_parts")).distinct()
     if many.isEmpty():
         return rows.join(values, key)
     told = many.withColumn("_at", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
