@@ -74,6 +74,13 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("rec").alias("doc_ord"), "piece", F.col("start").alias("start_char"), F.col("end").alias("end_char"), rate_tokens(F.col("n_bytes"), F.col("rate")).alias("n_tokens"), "forced")
 
 
+def p5_breaches(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces that break a rule: none."""
+    limit, overlap = limit_row(read(spark, d, "size_limit"), "split")
+    records = _split_records(spark, d)
+    return splitter.breaches(splitter.pieces(records, limit, overlap), records, limit, overlap).withColumnRenamed("rec", "doc_ord")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     limit, overlap = limit_row(read(spark, d, "size_limit"), "split")
     found = splitter.pieces(_split_records(spark, d), limit, overlap)
@@ -89,6 +96,12 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return packing.split_documents(p6_containers(spark, d))
 
 
+def p6_breaches(spark: SparkSession, d: str) -> DataFrame:
+    """Containers and documents that break a rule: none."""
+    capacity, _ = limit_row(read(spark, d, "size_limit"), "pack")
+    return packing.breaches(p6_containers(spark, d), read(spark, d, "documents"), read(spark, d, "token_rate"), capacity)
+
+
 def p6_usage(spark: SparkSession, d: str) -> DataFrame:
     capacity, _ = limit_row(read(spark, d, "size_limit"), "pack")
     return packing.usage(p6_containers(spark, d), capacity)
@@ -111,7 +124,7 @@ def p8_shapes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p1_found, p1_budget, p1_tokenizer_budget, p2_found, p2_groups, p3_found, p3_templates, p4_found, p4_knn, p5_found, p5_pieces, p6_found, p6_containers, p6_usage, p7_found, p7_edited, p8_found, p8_shapes)
+    found = (p1_found, p1_budget, p1_tokenizer_budget, p2_found, p2_groups, p3_found, p3_templates, p4_found, p4_knn, p5_found, p5_pieces, p5_breaches, p6_found, p6_containers, p6_breaches, p6_usage, p7_found, p7_edited, p8_found, p8_shapes)
     return {f.__name__: f for f in found}
 
 
@@ -127,7 +140,30 @@ def oracle_sql() -> dict[str, str]:
     asked = "CASE WHEN regexp_matches({0}, '[㐀-鿿]') THEN 'zh' WHEN regexp_matches({0}, '[A-Za-z]') THEN 'en' END"
     reduced = "regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
     windows = "SELECT item_id, lang, {0} AS t FROM benchmark_item WHERE {0} IS NOT NULL"
+    normal = "regexp_replace(lower({0}), '[ \\t\\r\\n]+', ' ', 'g')"
+    similar = f"""
+            t AS (SELECT 'custom_text_corpus' AS tbl, doc_ord AS rec, {normal.format("content")} AS s FROM custom_text_corpus
+              UNION ALL SELECT 'organized_text_corpus', path_id, {normal.format("array_to_string(list_filter(content_path, lambda x: x IS NOT NULL), chr(10))")} FROM organized_text_corpus),
+            c AS MATERIALIZED (SELECT tbl, s, min(rec) AS rep, count(*) AS n_copies FROM t WHERE length(s) >= 5 GROUP BY ALL),
+            g AS MATERIALIZED (SELECT DISTINCT tbl, rep, hash(substr(s, k, 5)) AS h FROM (SELECT *, unnest(range(1, length(s) - 3)) AS k FROM c)),
+            z AS MATERIALIZED (SELECT tbl, rep, count(*) AS n FROM g GROUP BY ALL),
+            l AS MATERIALIZED (SELECT a.tbl, a.rep AS ra, b.rep AS rb, count(*) AS m FROM g a JOIN g b ON a.tbl = b.tbl AND a.h = b.h AND a.rep < b.rep GROUP BY ALL),
+            e AS MATERIALIZED (SELECT l.tbl, ra, rb FROM l JOIN z x ON x.tbl = l.tbl AND x.rep = ra JOIN z y ON y.tbl = l.tbl AND y.rep = rb WHERE m >= 0.7 * (x.n + y.n - m)),
+            m AS MATERIALIZED (SELECT tbl, rec, rep, n_copies FROM t JOIN c USING (tbl, s))"""
     return {
+        "p2_found": f"""
+            WITH {similar}
+            SELECT tbl, least(x.rec, y.rec) AS rec_a, greatest(x.rec, y.rec) AS rec_b FROM e JOIN m x USING (tbl) JOIN m y USING (tbl) WHERE x.rep = ra AND y.rep = rb
+            UNION ALL SELECT tbl, x.rec, y.rec FROM m x JOIN m y USING (tbl, rep) WHERE x.rec < y.rec""",
+        "p2_groups": f"""
+            WITH RECURSIVE {similar},
+            b AS (SELECT tbl, ra AS u, rb AS v FROM e UNION ALL SELECT tbl, rb, ra FROM e),
+            r AS (SELECT tbl, rep AS u, rep AS root FROM c UNION SELECT b.tbl, b.v, r.root FROM r JOIN b ON b.tbl = r.tbl AND b.u = r.u),
+            o AS (SELECT tbl, u AS rep, min(root) AS group_id FROM r GROUP BY ALL),
+            d AS (SELECT tbl, u AS rep, count(*) AS n_links FROM b GROUP BY ALL)
+            SELECT tbl, rec, rep AS class_id, group_id, n_copies, coalesce(n_links, 0) AS n_links FROM m JOIN o USING (tbl, rep) LEFT JOIN d USING (tbl, rep)""",
+        "p5_breaches": "SELECT 'over' AS rule, CAST(1 AS BIGINT) AS doc_ord WHERE false",
+        "p6_breaches": "SELECT 'over' AS rule, CAST(1 AS BIGINT) AS id WHERE false",
         "p1_found": f"""
             SELECT 'dataset_item' AS tbl, item_id AS row_id FROM {_RATED.format("dataset_item", "language")}
             WHERE token_count IS DISTINCT FROM {_tokens("coalesce(prompt, '') || coalesce(output, '')")}

@@ -106,3 +106,15 @@ def usage(packed: DataFrame, capacity: int) -> DataFrame:
     total = packed.agg(F.count_distinct("container").alias("n_containers"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"))
     room = F.col("n_containers") * capacity
     return total.select("n_containers", "n_tokens", (room - F.col("n_tokens")).alias("n_unused"), F.round(F.try_divide(F.col("n_tokens"), room), 6).alias("share_used"))
+
+
+def breaches(packed: DataFrame, documents: DataFrame, rates: DataFrame, capacity: int) -> DataFrame:
+    """(rule, id): where a packing breaks its rules; empty for a right one. ``over``: a container above the capacity;
+    ``missing``: a document with tokens that isn't packed; ``unknown``: one packed that has none; ``split``: one of several
+    pieces that would fit whole; ``short``: one whose pieces hold fewer tokens than it."""
+    size = sized(documents, rates).where("n_tokens > 0").select("doc_id", F.col("n_tokens").alias("size"))
+    mine = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("held"))
+    both = size.join(mine, "doc_id", "full")
+    rule = F.when(F.col("n").isNull(), "missing").when(F.col("size").isNull(), "unknown").when((F.col("n") > 1) & (F.col("size") <= capacity), "split").when(F.col("held") < F.col("size"), "short")
+    over = packed.groupBy("container").agg(F.sum("n_tokens").alias("t")).where(F.col("t") > capacity).select(F.lit("over").alias("rule"), F.col("container").alias("id"))
+    return both.select(rule.alias("rule"), F.col("doc_id").alias("id")).where("rule is not null").unionByName(over)

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..runtime import table
 from .text import code_points, map_arrow
@@ -273,3 +274,27 @@ def batch_of(rows: list[tuple]) -> pa.RecordBatch:
 def with_text(found: DataFrame, records: DataFrame) -> DataFrame:
     """Adds to pieces their text, cut out of ``records`` (rec, text)."""
     return found.join(records.select("rec", "text"), "rec").withColumn("text", F.substring("text", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")))
+
+
+def breaches(found: DataFrame, records: DataFrame, limit_tokens: int, overlap_tokens: int) -> DataFrame:
+    """(rule, rec): where pieces break the rules of splitting; empty for right ones. ``over``: a piece above the limit;
+    ``gap``: one that doesn't begin within the piece before it, or doesn't go beyond it; ``overlap``: a longer overlap than
+    asked for; ``ends``: pieces that don't cover the text; ``unnatural``: a piece of a text without forced cuts that ends
+    elsewhere than at a natural boundary; ``missing``: a text above the limit without pieces."""
+    byte_limit = F.floor(F.lit(limit_tokens) / F.col("rate") + 1e-9)
+    texts = records.where("rec is not null and rate > 0").where(F.ceil(F.round(F.octet_length("text") * F.col("rate"), 9)) > limit_tokens)
+    w = Window.partitionBy("rec").orderBy("piece")
+    part = lambda a, b: F.substring("text", (a + 1).cast("int"), (b - a).cast("int"))
+    rows = found.withColumns({"_before": F.lag("end").over(w), "_next": F.lead("end").over(w)}).join(texts.select("rec", "text", "rate"), "rec", "right")
+    last = F.col("_next").isNull()
+    tail = part(F.col("end") - 1, F.col("end") + 1)
+    natural = tail.rlike(r"^[\n\r。！？]|^[.!?]\s") & ~((F.substring(tail, 1, 1) == "\r") & (F.substring(tail, 2, 1) == "\n"))
+    rule = (
+        F.when(F.col("piece").isNull(), "missing")
+        .when((F.col("n_bytes") > byte_limit) | (F.octet_length(part(F.col("start"), F.col("end"))) != F.col("n_bytes")), "over")
+        .when((F.col("_before") < F.col("start")) | (F.col("end") <= F.col("_before")), "gap")
+        .when(F.octet_length(part(F.col("start"), F.col("_before"))) > F.floor(F.lit(overlap_tokens) / F.col("rate") + 1e-9), "overlap")
+        .when((F.col("_before").isNull() & (F.col("start") != 0)) | (last & (F.col("end") != F.length("text"))), "ends")
+        .when(~F.col("forced") & ~last & ~natural, "unnatural")
+    )
+    return rows.select(rule.alias("rule"), "rec").where("rule is not null")

@@ -213,11 +213,17 @@ def lists_for(n: int) -> int:
     return int(min(4096, max(16, 2 ** math.ceil(math.log2(max(1.0, math.sqrt(n)))))))
 
 
-def knn(vectors: DataFrame, k: int = 10, d: int = 64, nprobe: int = 32, queries: str | None = None, floor: float | None = None, rerank: int = 64, sample: int = 32768, slack: float = 0.2) -> DataFrame:
+def probes_for(lists: int) -> int:
+    """Lists that a query asks where recall counts: an eighth of them, 32 at least. A fixed number would lose
+    recall as the lists grow."""
+    return max(32, lists // 8)
+
+
+def knn(vectors: DataFrame, k: int = 10, d: int = 64, nprobe: int | None = None, queries: str | None = None, floor: float | None = None, rerank: int = 64, sample: int = 32768, slack: float = 0.2) -> DataFrame:
     """(q, n, score): for each vector q its k most similar other vectors n by cosine, ties by the smaller id.
 
     ``vectors`` has (id, embedding), ids unique; other columns are ignored. ``queries`` is a condition on ``id`` that
-    names the vectors to search for (all by default). With ``floor``, only neighbours of at least that cosine come
+    names the vectors to search for (all by default). ``nprobe`` is ``probes_for`` the lists by default. With ``floor``, only neighbours of at least that cosine come
     out, and every vector whose coded score is above ``floor - slack`` is scored exactly; else the best ``rerank``
     of each list are. Rows whose embedding is null, all zeros, not finite or not of d numbers take no part. The
     sample the index is fitted on has at most ``sample`` rows (the smallest by hash of the id).
@@ -233,7 +239,7 @@ def knn(vectors: DataFrame, k: int = 10, d: int = 64, nprobe: int = 32, queries:
         return spark.createDataFrame([], "q bigint, n bigint, score double")
     rows = reps.orderBy(F.xxhash64("id"), "id").limit(sample).select("unit").toArrow()
     index = fit(_matrix(rows.column("unit"), d), lists_for(n))
-    coded = table(index_rows(reps, index, nprobe, d), "coded")
+    coded = table(index_rows(reps, index, nprobe or probes_for(len(index.centroids)), d), "coded")
     asked = coded.select("id", "unit", F.explode("probes").alias("list"))
     if queries is not None:  # a class is asked for if any of its members is
         named = reps.select("id").join(copies.select(F.col("rep").alias("id")), "id", "left_anti").where(queries).select("id")

@@ -40,6 +40,19 @@ def test_recall_against_brute_force(spark, data):
     assert hits / (10 * len(got)) >= 0.9
 
 
+def test_recall_at_the_production_ratio(spark):
+    """An eighth of the lists, on vectors with the structure of a corpus: many topics, and noise around them."""
+    rng = np.random.default_rng(5)
+    topics = rng.normal(size=(60, 64))
+    x = (topics[rng.integers(0, 60, 3000)] + 0.7 * rng.normal(size=(3000, 64))).astype(np.float32)
+    assert K.lists_for(3000) == 64 and K.probes_for(64) == 32 and K.probes_for(512) == 64 and K.probes_for(4096) == 512
+    want = brute(list(range(3000)), x, 10)
+    got = {}
+    for r in K.knn(frame(spark, range(3000), x), k=10, nprobe=8, queries="id % 20 = 0 and id < 3000").collect():
+        got.setdefault(r["q"], set()).add(r["n"])
+    assert sum(len(got[q] & {n for n, _ in want[q]}) for q in got) / (10 * len(got)) >= 0.9 and len(got) == 150
+
+
 def test_mutual_pairs_are_complete(spark, data):
     ids, x = data
     want = {(min(a, n), max(a, n)) for a, near in brute(ids, x, 10).items() for n, s in near if s >= 0.87}
