@@ -288,7 +288,8 @@ def link_representatives(records: DataFrame, threshold: float = 0.7, n: int = 5,
     met = tiled_pairs(buckets.join(signed.select("tbl", "rec", "filled", "sketch"), ["tbl", "rec"]), ["tbl", "key"], "rec", "_n", ("filled", "sketch"))
     candidates = table(_prune_sketches(met, threshold, tolerance).distinct(), "candidates")
     degree = candidates.select("tbl", F.explode(F.array("rec_a", "rec_b")).alias("rec")).groupBy("tbl", "rec").agg(F.count(F.lit(1)).alias("_degree"))
-    values = table(degree.join(signed.select("tbl", "rec", "filled", "keys"), ["tbl", "rec"]).join(records.select("tbl", "rec", "text"), ["tbl", "rec"]), "values")
+    degree = table(degree, "degree")  # small beside the records: each table is joined to it before they meet
+    values = table(degree.join(signed.select("tbl", "rec", "filled", "keys"), ["tbl", "rec"]).join(records.select("tbl", "rec", "text").join(degree.select("tbl", "rec"), ["tbl", "rec"]), ["tbl", "rec"]), "values")
     side = lambda s: values.select("tbl", F.col("rec").alias(f"rec_{s}"), F.col("_degree").alias(f"_degree_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("filled", "keys", "text")))
     pairs = salted_join(salted_join(candidates, side("a"), ["tbl", "rec_a"], ["rec_b"], "_degree_a"), side("b"), ["tbl", "rec_b"], ["rec_a"], "_degree_b")
     links = table(_verify(pairs, threshold, n, tolerance), "links")
