@@ -80,6 +80,21 @@ def offline_merge(prompts: list[str]) -> list[str]:
     return out
 
 
+def offline_label(prompts: list[str]) -> list[str]:
+    """Stands in for a model that labels questions: 1 where the question, the prompt's last line, names a guide."""
+    return ["1" if re.search("guide|手册", p.rpartition("\n")[2]) else "0" for p in prompts]
+
+
+def offline_simplify(prompts: list[str]) -> list[str]:
+    """Stands in for a model that shortens answers: what stands before the first comma of the prompt's answer."""
+    return [re.split("[,，]", re.split("\n(?:Answer: |答案：)", p, maxsplit=1)[-1])[0] for p in prompts]
+
+
+def offline_split(prompts: list[str]) -> list[str]:
+    """Stands in for a model that rewrites answers: the answer of the prompt behind the word Reasoning."""
+    return ["Reasoning: " + re.split("\n(?:Answer: |答案：)", p, maxsplit=1)[-1] for p in prompts]
+
+
 def mapped(df: DataFrame, make_model: Callable[[], Model], make_prompts: Callable[[pa.RecordBatch], list[str]], column: str = "reply") -> DataFrame:
     """``df`` with the model's reply to each row."""
 
@@ -104,10 +119,15 @@ def hashed_vectors(texts: list[str | None], d: int = 64, n: int = 3) -> np.ndarr
     return np.divide(out, size, out=out, where=size > 0)
 
 
-def embed(df: DataFrame, key: str, text: str, embedder: Callable[[list[str | None]], np.ndarray] = hashed_vectors) -> DataFrame:
-    """(key, embedding) of each row, keyed, so that order and partitions don't matter."""
+Embedder = Callable[[list[str | None]], np.ndarray]
+
+
+def embed(df: DataFrame, key: str, text: str, make_embedder: Callable[[], Embedder] = lambda: hashed_vectors) -> DataFrame:
+    """(key, embedding) of each row, keyed, so that order and partitions don't matter. The embedder is made once per
+    worker, so that weights never travel; rows that are done already can be left out by ``files.pending``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        embedder = make_embedder()
         for batch in batches:
             x = np.asarray(embedder(batch.column(text).to_pylist()), np.float32)
             offsets = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]

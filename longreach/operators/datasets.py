@@ -38,8 +38,9 @@ def distractors(items: DataFrame, corpus: DataFrame, target: int, draws: int = 1
     ``items`` (item_id, ids, n_tokens): the ids already in its context, and its tokens. ``corpus`` (doc_ord, id,
     n_tokens) with dense ``doc_ord``. Each draw is a hash of item and draw number modulo the corpus, so finding it is an
     equi-join; nothing is ranked over the whole corpus. Items that ``draws`` don't fill draw twice as many in the next
-    round; after ``most_rounds``, or with more draws than four times the corpus, what was drawn is the result. Documents
-    that are null, empty, drawn before or in the context are passed over."""
+    round; after ``most_rounds``, or with more draws than four times the corpus, what was drawn is the result, and
+    ``short_items`` tells which items stayed below the target. Documents that are null, empty, drawn before or in the
+    context are passed over."""
     n = corpus.agg(F.max("doc_ord")).first()[0]
     schema = "item_id bigint, place int, doc_ord bigint, n_tokens bigint"
     spark = items.sparkSession
@@ -67,6 +68,13 @@ def distractors(items: DataFrame, corpus: DataFrame, target: int, draws: int = 1
     return done
 
 
+def short_items(items: DataFrame, drawn: DataFrame, target: int) -> DataFrame:
+    """(item_id, n_tokens): the items whose context and distractors together stay below ``target``."""
+    got = drawn.groupBy("item_id").agg(F.sum("n_tokens").alias("_got"))
+    total = items.join(got, "item_id", "left").select("item_id", (F.coalesce("n_tokens", F.lit(0)) + F.coalesce("_got", F.lit(0))).alias("n_tokens"))
+    return total.where(F.col("n_tokens") < target)
+
+
 def budget_cut(tokens: Column, clue: Column, limit: Column) -> Column:
     """How many leading documents stay: with s(i) the sum of the first i counts, the smallest i with s(i) + clue above the
     limit; all of them if there is none. The document that crosses the limit stays, and none if the clue alone

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -72,6 +72,23 @@ def train(vectors: DataFrame, config: Config = Config()) -> Index:
     return Index(centroids, np.stack([_kmeans(residual[:, m * width : (m + 1) * width], config.centres, config.rounds, rng) for m in range(config.subspaces)]))
 
 
+def save(index: Index, spark: SparkSession, path: str) -> None:
+    """Stores centroids and codebooks as one parquet table (part, list_id, values), so that training, encoding and
+    searching can be jobs of their own. An index that is there already is an error."""
+    rows = [("centroid", 0, i, c.tolist()) for i, c in enumerate(index.centroids)] + [("book", m, i, c.tolist()) for m, book in enumerate(index.books) for i, c in enumerate(book)]
+    spark.createDataFrame(rows, "part string, sub int, number int, values array<double>").coalesce(1).write.mode("error").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> Index:
+    """What ``save`` stored; bounded by lists and codebooks."""
+    rows = spark.read.parquet(path).orderBy("part", "sub", "number").collect()
+    books: dict[int, list[list[float]]] = {}
+    for r in rows:
+        if r["part"] == "book":
+            books.setdefault(r["sub"], []).append(r["values"])
+    return Index(np.array([r["values"] for r in rows if r["part"] == "centroid"]), np.array([books[m] for m in sorted(books)]))
+
+
 def encode(vectors: DataFrame, index: Index, config: Config = Config()) -> DataFrame:
     """(id, list_id, codes, shard) of every vector that isn't null; write it partitioned by shard or list."""
     shared = vectors.sparkSession.sparkContext.broadcast(index)

@@ -2,13 +2,15 @@
 
 The walk and the merge are sequential by definition, but fall apart over the connected components of the graph:
 components are found in parallel, each is walked in one task, and clusters are numbered by their first document, which
-gives the order of one walk over everything. A component of any size is walked whole, in one task that holds its ids and
-neighbours as arrays. Only where ``most`` is given, one above it is cut into ranges of ids, and edges that leave a range
-are ignored there.
+gives the order of one walk over everything. A component of any size is walked whole, with all of its edges: each step
+depends on all steps before it, so that a component is a sequence, not a group that could be split. Its task holds no
+texts and no vectors, only numbers: about 100 bytes a document.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,10 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import ngram_similarity
-from ..runtime import table, table_state
+from ..runtime import salted_join, table, table_state
 
 CLUSTER_SIZE, FIRST, LAST = 21, 2, 10  # the ranks that a walk looks at
-ONE_TASK = 1_000_000
 
 
 def neighbour_lists(knn: DataFrame, ids: DataFrame) -> DataFrame:
@@ -28,41 +29,56 @@ def neighbour_lists(knn: DataFrame, ids: DataFrame) -> DataFrame:
     return ids.select("id").join(near, "id", "left").select("id", F.coalesce(F.transform("s", lambda x: x["n"]), F.array().cast("array<bigint>")).alias("near"))
 
 
-def _union_find(t):
-    """Edges (u, v) to (node, smallest node of its component)."""
-    nodes, flat = np.unique(np.concatenate([np.asarray(t.column("u")), np.asarray(t.column("v"))]), return_inverse=True)
-    root = list(range(len(nodes)))
+CHUNK = 1_000_000  # edges that a task contracts at once
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """(u, v), v < u: edges with the same connections, of which each task replaces every chunk of its own by stars around
+    the smallest id of what the chunk connects."""
+
+    def stars(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        nodes, flat = np.unique(np.concatenate([u, v]), return_inverse=True)
+        root = list(range(len(nodes)))
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
 
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
+        for a, b in zip(flat[: len(u)].tolist(), flat[len(u) :].tolist()):
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+        least = nodes[[find(i) for i in range(len(nodes))]]
+        return pa.RecordBatch.from_arrays([pa.array(nodes[least < nodes]), pa.array(least[least < nodes])], names=["u", "v"])
 
-    half = len(flat) // 2
-    for a, b in zip(flat[:half].tolist(), flat[half:].tolist()):
-        a, b = find(a), find(b)
-        root[max(a, b)] = min(a, b)
-    return pa.table([pa.array(nodes), pa.array(nodes[[find(i) for i in range(len(nodes))]])], names=["u", "v"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= CHUNK:
+                yield stars(*(np.concatenate([np.asarray(b.column(c)) for b in held]) for c in ("u", "v")))
+                held = []
+        if sum(b.num_rows for b in held):
+            yield stars(*(np.concatenate([np.asarray(b.column(c)) for b in held]) for c in ("u", "v")))
+
+    return edges.mapInArrow(run, "u bigint, v bigint")
 
 
 def components(near: DataFrame) -> DataFrame:
     """(id, component): the smallest id that can be reached over neighbour edges in either direction.
 
-    Alternating large and small stars; rounds grow with the logarithm of the longest path, and no component is ever
-    collected. Up to ONE_TASK edges, a bounded table, one task joins them by union-find instead."""
+    Tasks contract their own edges, then alternating large and small stars join what is left; rounds grow with the
+    logarithm of the longest path, and no component is ever collected. Hubs are joined in parts."""
     edges = near.select("id", F.explode("near").alias("n")).where("id <> n").select(F.greatest("id", "n").alias("u"), F.least("id", "n").alias("v")).distinct()
-    edges = table(edges, "edges")
+    edges = table(contracted(edges).distinct(), "edges")
     now = table_state(edges)
-    if now[0] <= ONE_TASK:
-        found = edges.groupBy(F.lit(0).alias("_all")).applyInArrow(_union_find, "u bigint, v bigint")
-        return near.select("id").join(found.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    while True:
+    while now[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        least = table(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("_n")), "least")
+        large = table(salted_join(both, least, ["u"], ["v"], "_n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        low = table(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n")), "low")
+        small = salted_join(large, low, ["u"], ["v"], "_n")
         edges = table(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
         before, now = now, table_state(edges)
         if now == before:
@@ -70,84 +86,110 @@ def components(near: DataFrame) -> DataFrame:
     return near.select("id").join(edges.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-class Lists:
-    """Rows of a list column, read from its arrays: about 80 bytes a document."""
+class Graph:
+    """Neighbour lists of the documents of one component, as places in the sorted ids; neighbours elsewhere are left out."""
 
-    def __init__(self, column: pa.ChunkedArray):
-        chunk = pa.concat_arrays(column.chunks)
-        self.values, self.ends = np.asarray(chunk.flatten()), np.cumsum(np.asarray(chunk.value_lengths()), dtype=np.int64)
+    def __init__(self, ids: np.ndarray, values: np.ndarray, lengths: np.ndarray):
+        self.ids = ids
+        place = np.minimum(np.searchsorted(ids, values), len(ids) - 1).astype(np.int32)
+        known = ids[place] == values
+        owner = np.repeat(np.arange(len(ids), dtype=np.int32), lengths)[known]
+        self.place = place[known]
+        self.start = np.searchsorted(owner, np.arange(len(ids) + 1)).astype(np.int64)
 
     def __getitem__(self, i: int) -> list[int]:
-        return self.values[self.ends[i - 1] if i else 0 : self.ends[i]].tolist()
-
-
-def walk(ids: np.ndarray, near: list[list[int]] | Lists, size: int, first_extra: bool) -> list[list[int]]:
-    """Clusters of one component: from the smallest unseen id, always on to the first unseen neighbour; a new cluster
-    begins where there is none or the cluster is full. ``first_extra``: the first cluster takes one document more."""
-    at = {int(v): i for i, v in enumerate(ids)}
-    unseen = np.ones(len(ids), bool)
-    order = np.argsort(ids, kind="stable")
-    clusters: list[list[int]] = []
-    pointer, current, room = 0, None, 0
-    for _ in range(len(ids)):
+        return self.place[self.start[i] : self.start[i + 1]].tolist()
+
+
+def walk(graph: Graph, size: int, first_extra: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The places of one component in the order of the walk, and where its clusters begin in it: from the smallest unseen
+    document, always on to the first unseen neighbour; a new cluster begins where there is none or the cluster is full.
+    ``first_extra``: the first cluster takes one document more."""
+    n = len(graph.ids)
+    seen = bytearray(n)
+    order, begins = np.empty(n, np.int32), []
+    pointer, current, room = 0, 0, 0
+    for k in range(n):
         step = None
         if room > 0:
-            step = next((at[n] for n in near[current] if n in at and unseen[at[n]]), None)
+            step = next((p for p in graph[current] if not seen[p]), None)
         if step is None:
-            while not unseen[order[pointer]]:
-                pointer += 1
-            step = order[pointer]
-            room = size + (first_extra and not clusters)
-            clusters.append([])
-        clusters[-1].append(int(ids[step]))
-        unseen[step] = False
+            pointer = seen.index(0, pointer)
+            step = pointer
+            room = size + (first_extra and not begins)
+            begins.append(k)
+        order[k] = step
+        seen[step] = 1
         current, room = step, room - 1
-    return clusters
-
-
-def merge(clusters: list[list[int]], ids: np.ndarray, near: list[list[int]] | Lists, size: int) -> list[list[int]]:
-    """Dissolves clusters below ``size``, in order: each document goes directly before its first neighbour that is in
-    another cluster at that time; without one, or if that one was dropped itself, it is dropped. Clusters grow without a cap.
-    ``ids`` are sorted, with their neighbours in ``near``."""
-    now = [list(c) for c in clusters]
-    home = {d: i for i, c in enumerate(now) for d in c}
-    for i in range(len(now)):
-        if len(now[i]) >= size or not now[i]:
+    return order, np.array(begins, np.int64)
+
+
+def merge(graph: Graph, order: np.ndarray, begins: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, cluster) of what is left when clusters below ``size`` are dissolved, in order: each document goes directly
+    before its first neighbour that is in another cluster at that time; without one, or if that one was dropped itself, it
+    is dropped. Clusters grow without a cap. Clusters are linked lists, so that a document moves in constant time."""
+    n = len(order)
+    count = np.diff(np.append(begins, n))
+    home = np.empty(n, np.int32)
+    home[order] = np.repeat(np.arange(len(begins)), count)
+    end = n  # stands before the first and behind the last document of a cluster
+    after, before = np.full(n + 1, end, np.int32), np.full(n + 1, end, np.int32)
+    after[order[:-1]], before[order[1:]] = order[1:], order[:-1]
+    lasts = np.append(begins[1:], n) - 1
+    after[order[lasts]], before[order[begins]] = end, end
+    head = order[begins].copy()
+    dropped = bytearray(n)
+    for i in range(len(begins)):
+        if count[i] >= size or not count[i]:
             continue
-        for d in list(now[i]):
-            goal = next((n for n in near[int(np.searchsorted(ids, d))] if n in home and home[n] != i), None)
-            if goal is not None and goal in now[home[goal]]:
-                home[d] = home[goal]
-                now[home[goal]].insert(now[home[goal]].index(goal), d)
-        now[i] = []
-    return now
-
-
-def clusters(knn: DataFrame, ids: DataFrame, merged: bool = False, size: int = CLUSTER_SIZE, strict: bool = False, most: int | None = None) -> DataFrame:
+        d = int(head[i])
+        count[i] = 0
+        while d != end:
+            follows = int(after[d])
+            goal = next((p for p in graph[d] if home[p] != i), None)
+            if goal is None or dropped[goal]:
+                dropped[d] = 1
+            else:
+                to, left = home[goal], int(before[goal])
+                home[d], before[d], after[d], before[goal] = to, left, goal, d
+                if left == end:
+                    head[to] = d
+                else:
+                    after[left] = d
+                count[to] += 1
+            d = follows
+    out, cluster = [], []
+    for i in np.flatnonzero(count).tolist():
+        d = int(head[i])
+        while d != end:
+            out.append(d)
+            cluster.append(i)
+            d = int(after[d])
+    return np.array(out, np.int32), np.array(cluster, np.int64)
+
+
+def clusters(knn: DataFrame, ids: DataFrame, merged: bool = False, size: int = CLUSTER_SIZE, strict: bool = False) -> DataFrame:
     """(seed, pos, id): the walk over ``knn`` (q, rank, n) and all ``ids``, or what is left after the merge. The seed is
     the first document of the cluster in the walk. ``strict``: no cluster above ``size``; else the very first takes
     one more. A dissolved cluster has no rows."""
     near = table(neighbour_lists(knn, ids), "near")
-    group = components(near)
-    big = group.groupBy("component").agg(F.count(F.lit(1)).alias("c")).withColumn("parts", F.ceil(F.col("c") / most) if most else F.lit(1))
-    w = Window.partitionBy("component").orderBy("id")
-    small = group.join(big.where("parts = 1").select("component"), "component").select("id", "component", F.lit(0).alias("part"))
-    large = group.join(big.where("parts > 1").select("component", "c", "parts"), "component").withColumn("_r", F.row_number().over(w)).select("id", "component", F.floor((F.col("_r") - 1) * F.col("parts") / F.col("c")).cast("int").alias("part"))
-    rows = near.join(small.unionByName(large), "id")
+    rows = near.join(components(near), "id")
     first = ids.agg(F.min("id")).first()[0]
 
     def run(_key, t):
         t = t.sort_by("id")
-        values = np.asarray(t.column("id"))
-        lists = Lists(t.column("near"))
-        walked = walk(values, lists, size, not strict and values[0] == first)
-        seeds = [c[0] for c in walked]
+        values, lists = np.asarray(t.column("id")), pa.concat_arrays(t.column("near").chunks)
+        graph = Graph(values, np.asarray(lists.flatten()), np.asarray(lists.value_lengths()))
+        order, begins = walk(graph, size, not strict and values[0] == first)
+        seeds = values[order[begins]]
         if merged:
-            walked = merge(walked, values, lists, size)
-        out = [(s, p, d) for s, c in zip(seeds, walked) for p, d in enumerate(c)]
-        return pa.table([pa.array([r[i] for r in out], ty) for i, ty in enumerate((pa.int64(), pa.int32(), pa.int64()))], names=["seed", "pos", "id"])
+            order, cluster = merge(graph, order, begins, size)
+        else:
+            cluster = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(order))))
+        pos = np.arange(len(order)) - np.searchsorted(cluster, cluster)
+        return pa.table([pa.array(seeds[cluster]), pa.array(pos.astype(np.int32)), pa.array(values[order])], names=["seed", "pos", "id"])
 
-    return table(rows.groupBy("component", "part").applyInArrow(run, "seed bigint, pos int, id bigint"), "walked")
+    return table(rows.groupBy("component").applyInArrow(run, "seed bigint, pos int, id bigint"), "walked")
 
 
 def numbered(walked: DataFrame, seeds: DataFrame | None = None) -> DataFrame:

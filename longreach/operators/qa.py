@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions import language_model as lm
 from ..functions import text as X
+from ..functions import vector as V
 
 
 def number_pairs(rows: DataFrame) -> DataFrame:
@@ -36,6 +37,30 @@ def answer_questions(rows: DataFrame, make_model: Callable[[], lm.Model], lang:
     return lm.mapped(rows, make_model, lambda b: [lm.prompt("answer", lang, chunk=c or "", question=q or "") for c, q in zip(b.column("chunk").to_pylist(), b.column("question").to_pylist())], "answer")
 
 
+def label_questions(rows: DataFrame, make_model: Callable[[], lm.Model] = lambda: lm.offline_label, lang: str = "en") -> DataFrame:
+    """Adds ``label``, the model's reply, to (question, ...): 1 for questions that point to something they don't name."""
+    return lm.mapped(rows, make_model, lambda b: [lm.prompt("label", lang, question=q or "") for q in b.column("question").to_pylist()], "label")
+
+
+def _of_pair(task: str, lang: str) -> Callable[[pa.RecordBatch], list[str]]:
+    return lambda b: [lm.prompt(task, lang, q=q or "", a=a or "") for q, a in zip(b.column("question").to_pylist(), b.column("answer").to_pylist())]
+
+
+def simplify_answers(rows: DataFrame, make_model: Callable[[], lm.Model] = lambda: lm.offline_simplify, lang: str = "en", run: int = 5) -> DataFrame:
+    """The model's shorter answers to (path_id, qa_ord, question, answer, ...), then the cut of ``cut_runs``; ``rationale``
+    keeps what the model said."""
+    said = lm.mapped(rows, make_model, _of_pair("simplify", lang), "_said")
+    return cut_runs(said.withColumn("answer", F.col("_said")).drop("_said"), run)
+
+
+def rewrite_by_model(items: DataFrame, make_model: Callable[[], lm.Model] = lambda: lm.offline_split, lang: str = "en") -> DataFrame:
+    """``rewrite_answers`` with the model's replies; it is asked only about items whose prompt has a question line."""
+    asked = items.withColumn("question", X.question_line("prompt")).withColumn("answer", F.col("output"))
+    said = lm.mapped(asked.where("question is not null"), make_model, _of_pair("split", lang), "_said")
+    rest = asked.where("question is null").withColumn("_said", F.lit(None).cast("string"))
+    return rewrite_answers(said.unionByName(rest).drop("question", "answer"), F.col("_said")).drop("_said")
+
+
 def drop_labelled(rows: DataFrame, label: Column) -> DataFrame:
     """Keeps the questions whose label has no ``1`` in it (a null label is none)."""
     return rows.where(~F.coalesce(F.contains(label, F.lit("1")), F.lit(False)))
@@ -60,15 +85,26 @@ def pair_similarity(a: Column, b: Column) -> Column:
     return F.round(F.coalesce(X.jaccard(a, b), F.lit(0.0)), 6)
 
 
-def neighbours(rows: DataFrame, topk: int = 3) -> DataFrame:
+def vector_similarity(a: Column, b: Column) -> Column:
+    """Similarity of two pairs by the cosine of their embeddings, six places; 0 where one is all zeros."""
+    return F.round(F.coalesce(V.cosine(a, b), F.lit(0.0)), 6)
+
+
+def neighbours(rows: DataFrame, topk: int = 3, make_embedder: Callable[[], lm.Embedder] | None = None) -> DataFrame:
     """(path_id, qa_ord, indoc_ids, crossdoc_ids) per pair.
 
     ``indoc_ids``: the second to (topk + 1)-th pair of its own document. ``crossdoc_ids``: of the later pairs of other
-    documents the topk most similar, ties to the earlier; so pairs of the last document have none."""
-    sets = rows.select("path_id", "qa_ord", "doc_pos", X.char_ngrams(X.qa_text("question", "answer")).alias("g"))
+    documents the topk most similar, ties to the earlier; so pairs of the last document have none. With an
+    embedder, pairs are compared by the cosine of their texts' embeddings."""
+    similarity = pair_similarity if make_embedder is None else vector_similarity
+    if make_embedder is None:
+        sets = rows.select("path_id", "qa_ord", "doc_pos", X.char_ngrams(X.qa_text("question", "answer")).alias("g"))
+    else:
+        texts = rows.select(F.struct("path_id", "qa_ord", "doc_pos").alias("pair"), X.qa_text("question", "answer").alias("text"))
+        sets = lm.embed(texts, "pair", "text", make_embedder).select("pair.*", F.col("embedding").alias("g"))
     a, b = sets.alias("a"), sets.alias("b")
     later = a.join(b, (F.col("a.path_id") == F.col("b.path_id")) & (F.col("b.qa_ord") > F.col("a.qa_ord")) & (F.col("a.doc_pos") != F.col("b.doc_pos")))
-    scored = later.select(F.col("a.path_id").alias("path_id"), F.col("a.qa_ord").alias("qa_ord"), F.col("b.qa_ord").alias("other"), pair_similarity(F.col("a.g"), F.col("b.g")).alias("sim"))
+    scored = later.select(F.col("a.path_id").alias("path_id"), F.col("a.qa_ord").alias("qa_ord"), F.col("b.qa_ord").alias("other"), similarity(F.col("a.g"), F.col("b.g")).alias("sim"))
     w = Window.partitionBy("path_id", "qa_ord").orderBy(F.desc("sim"), "other")
     best = scored.withColumn("r", F.row_number().over(w)).where(F.col("r") <= topk)
     cross = best.groupBy("path_id", "qa_ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "other"))), lambda s: s["other"]).alias("crossdoc_ids"))

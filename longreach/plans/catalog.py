@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import language_model as lm
 from ..functions import text as X
 from ..operators import context, datasets, evaluate, ivf, knn, paths, qa
-from ..runtime import read
+from ..runtime import read, shared_dir
 from ..sources import files
 from ..streaming import incremental
 from .oracle import oracle_sql  # noqa: F401
@@ -401,3 +402,105 @@ def perturbation_subset(spark: SparkSession, d: str) -> DataFrame:
 @query
 def events_windowed(spark: SparkSession, d: str) -> DataFrame:
     return incremental.windowed_counts(read(spark, d, "events"), "ts", "event_type")
+
+
+# ---- files, batches and model steps ------------------------------------------------------------------------------
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/longreach-{name}-{uuid.uuid4().hex}"
+
+
+@query
+def jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Written as numbered jsonl files and read again, line numbers included."""
+    path = _folder(spark, "jsonl")
+    files.write_jsonl(read(spark, d, "custom_text_corpus").select("doc_ord", "id", "content"), path, 4, "doc_ord")
+    schema = files.T.StructType([files.T.StructField("doc_ord", files.T.LongType()), *files.CORPUS.fields])
+    return files.read_jsonl(spark, f"{path}/*.json", schema).select("doc_ord", "id", F.md5("content").alias("digest"))
+
+
+@query
+def vector_files(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors scattered to raw matrix files, which are sniffed and read by ranges of rows, and their ids again."""
+    path = _folder(spark, "raw")
+    written = files.write_vectors(_vectors(spark, d).select("id", "v"), path).collect()  # a row per file
+    plan = [(r["file"], files.sniff_format(r["n"] * 64 * 4, 64)) for r in written]
+    rows = files.read_vectors(spark, plan, 64, rows_per_task=500)
+    return rows.select(F.posexplode("v").alias("dim", "x")).groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("x").cast("double")), 3).alias("total"))
+
+
+@query
+def partitioned_sink(spark: SparkSession, d: str) -> DataFrame:
+    path = _folder(spark, "sink")
+    files.write_partitioned(read(spark, d, "dataset_item").select("item_id", "language", "hop"), path, "language", "hop")
+    return spark.read.parquet(path).groupBy("language", F.col("hop").cast("int").alias("hop")).agg(F.count(F.lit(1)).alias("n"), F.sum("item_id").alias("ids"))
+
+
+@query
+def pending_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Records that have no vector yet."""
+    return files.pending(read(spark, d, "custom_text_corpus").select("doc_ord", "id"), read(spark, d, "corpus_vectors"), "doc_ord")
+
+
+@query
+def batched_search(spark: SparkSession, d: str) -> DataFrame:
+    """Exact search in batches of ids, each stored; a second call finds all of them done."""
+    v, path = _vectors(spark, d), _folder(spark, "batches")
+    most = v.agg(F.max("id")).first()[0] or 0
+    search = lambda q: knn.exact_knn(q, v, K)
+    evaluate.search_in_batches(_asked(v), path, most // 3 + 1, search, 2)
+    evaluate.search_in_batches(_asked(v), path, most // 3 + 1, search)
+    return spark.read.parquet(path).select("q", "rank", "n", F.round("dist", 6).alias("dist"))
+
+
+@query
+def gathered_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors of an order's neighbours, repeats included: of each event the vector that its user's number names."""
+    wanted = read(spark, d, "events").select(F.col("event_id").alias("ord"), F.col("user_id").cast("bigint").alias("id"))
+    return knn.gather(wanted, _vectors(spark, d)).select("ord", "id", F.round(F.get("v", F.lit(0)).cast("double"), 6).alias("first"))
+
+
+@query
+def incremental_load(spark: SparkSession, d: str) -> DataFrame:
+    """New files pass through once: half of the corpus, then the rest, into one sink."""
+    path = _folder(spark, "stream")
+    corpus = read(spark, d, "custom_text_corpus").select("id", "content", "lang")
+    schema = files.T.StructType([*files.CORPUS.fields])
+    for lang in ("en", "zh"):
+        corpus.where(F.col("lang") == lang).select("id", "content").write.mode("append").json(f"{path}/in")
+        incremental.run_incrementally(spark, f"{path}/in", schema, lambda b: b.select("id", F.length("content").alias("n_chars")), f"{path}/out", f"{path}/state")
+    return spark.read.parquet(f"{path}/out").select("id", "n_chars")
+
+
+@query
+def stored_index_recall(spark: SparkSession, d: str) -> DataFrame:
+    """An index that is trained, stored, loaded and merged from two shards finds nine of ten true neighbours."""
+    v, path = _vectors(spark, d).select("id", "v"), _folder(spark, "index")
+    config = ivf.Config(lists=16, subspaces=16, centres=64)
+    ivf.save(ivf.train(v, config), spark, path)
+    index = ivf.load(spark, path)
+    shards = [ivf.encode(v.where(F.col("id") % 2 == r), index, config) for r in (0, 1)]
+    found = ivf.search(_asked(v), ivf.merge_shards(*shards), index, nprobe=12, k=K, vectors=v, rerank=8)
+    return knn.recall_at(knn.exact_knn(_asked(v), v, K), found, K).where(F.col("i") == K).select("i", (F.col("recall") >= 0.9).alias("enough"))
+
+
+@query
+def qa_labelled(spark: SparkSession, d: str) -> DataFrame:
+    said = qa.label_questions(qa.real_questions(_pairs(spark, d)))
+    return qa.drop_labelled(said, F.col("label")).select("path_id", "qa_ord")
+
+
+@query
+def qa_simplified(spark: SparkSession, d: str) -> DataFrame:
+    return qa.simplify_answers(_pairs(spark, d)).select("path_id", "qa_ord", F.md5("rationale").alias("said"))
+
+
+@query
+def answers_by_model(spark: SparkSession, d: str) -> DataFrame:
+    done = qa.rewrite_by_model(read(spark, d, "train"))
+    return done.select("row_id", F.md5("output").alias("output"), F.md5("dedup_output").alias("dedup_output"))
+
+
+@query
+def qa_neighbours_embedded(spark: SparkSession, d: str) -> DataFrame:
+    near = qa.neighbours(_pairs(spark, d), make_embedder=lambda: lm.hashed_vectors)
+    return near.select("path_id", "qa_ord", _joined_ids("indoc_ids"), F.size("crossdoc_ids").alias("n_cross"))

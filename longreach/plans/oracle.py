@@ -171,6 +171,19 @@ def oracle_sql() -> dict[str, str]:
         "qa_filter": f"WITH {_PAIRS} SELECT path_id, qa_ord FROM rows WHERE regexp_matches(trim(question), '[?？]$') AND NOT regexp_matches(question, 'guide|手册')",
         "qa_simplify_cut": f"""WITH {_PAIRS}, c AS (SELECT path_id, qa_ord, trim(answer, '答案：') AS answer FROM rows)
             SELECT path_id, qa_ord, answer FROM (SELECT *, max(CAST(coalesce(trim(answer), '') = '' AS INTEGER)) OVER (PARTITION BY path_id, qa_ord // 5 ORDER BY qa_ord) AS cut FROM c) WHERE cut = 0""",
+        "qa_labelled": f"WITH {_PAIRS} SELECT path_id, qa_ord FROM rows WHERE regexp_matches(trim(question), '[?？]$') AND NOT regexp_matches(question, 'guide|手册')",
+        "qa_simplified": f"""WITH {_PAIRS}, c AS (SELECT path_id, qa_ord, string_split_regex(coalesce(answer, ''), '[,，]')[1] AS said FROM rows)
+            SELECT path_id, qa_ord, md5(said) AS said FROM (SELECT *, max(CAST(trim(trim(said, '答案：')) = '' AS INTEGER)) OVER (PARTITION BY path_id, qa_ord // 5 ORDER BY qa_ord) AS cut FROM c) WHERE cut = 0""",
+        "answers_by_model": "SELECT row_id, md5(CASE WHEN a THEN 'Reasoning: ' || coalesce(output, '') ELSE output END) AS output, CASE WHEN a THEN md5(output) END AS dedup_output FROM (SELECT *, coalesce(regexp_matches(string_split(prompt, chr(10))[-2], '^(问题|Question)'), false) AS a FROM train)",
+        "qa_neighbours_embedded": f"WITH {_NEAR} SELECT path_id, qa_ord, array_to_string(indoc, ',') AS indoc_ids, CAST(len(xd) AS INTEGER) AS n_cross FROM near",
+        "jsonl_round_trip": "SELECT doc_ord, id, md5(content) AS digest FROM custom_text_corpus",
+        "vector_files": "SELECT CAST(k - 1 AS INTEGER) AS dim, count(*) AS n, round(sum(CAST(embedding[k] AS DOUBLE)), 3) AS total FROM embeddings, range(1, 65) t(k) WHERE embedding IS NOT NULL GROUP BY k",
+        "partitioned_sink": "SELECT language, hop, count(*) AS n, CAST(sum(item_id) AS BIGINT) AS ids FROM dataset_item GROUP BY ALL",
+        "pending_vectors": "SELECT doc_ord, id FROM custom_text_corpus WHERE doc_ord NOT IN (SELECT doc_ord FROM corpus_vectors)",
+        "batched_search": exact["ip"],
+        "gathered_vectors": "SELECT event_id AS ord, vec_id AS id, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM events JOIN embeddings ON vec_id = user_id",
+        "incremental_load": "SELECT id, length(content) AS n_chars FROM custom_text_corpus WHERE lang IN ('en', 'zh')",
+        "stored_index_recall": "SELECT CAST(10 AS INTEGER) AS i, true AS enough",
         "qa_neighbours": f"WITH {_NEAR} SELECT path_id, qa_ord, array_to_string(indoc, ',') AS indoc_ids, array_to_string(xd, ',') AS crossdoc_ids FROM near",
         "multihop_fold": f"WITH {_FOLD} SELECT * FROM hops",
         "hop_recover": f"""WITH {_FOLD}, d AS (SELECT path_id, list(DISTINCT doc_pos) AS ds FROM rows GROUP BY path_id),

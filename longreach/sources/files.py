@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..runtime import table
+
 CORPUS = T.StructType([T.StructField("id", T.StringType()), T.StructField("content", T.StringType())])
 PATHS = T.StructType([T.StructField("id_path", T.ArrayType(T.StringType())), T.StructField("content_path", T.ArrayType(T.StringType()))])
 
@@ -89,6 +91,34 @@ def read_vectors(spark: SparkSession, files: list[tuple[str, str]], d: int, dtyp
     return plan.repartition(max(1, len(ranges)), "path", "start").mapInArrow(run, "file string, row bigint, v array<float>")
 
 
+def write_vectors(vectors: DataFrame, path: str) -> DataFrame:
+    """Writes (id, v), sorted by id over all files, as raw matrices of floats under ``path``; (file, n, first_id) per file.
+
+    A file is named by the first id that it holds and is written as a whole, so a task that runs again replaces it. Null
+    vectors are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        parts, first, n = [], None, 0
+        for batch in batches:
+            if batch.num_rows:
+                first = batch.column("id")[0].as_py() if first is None else first
+                parts.append(np.asarray(batch.column("v").flatten()).astype(np.float32))
+                n += batch.num_rows
+        if n:
+            name = f"{path}/{first:020d}.raw"
+            store, local = fs.FileSystem.from_uri(name) if "://" in name else (fs.LocalFileSystem(), name)
+            store.create_dir(local.rpartition("/")[0])
+            with store.open_output_stream(local) as f:
+                for x in parts:
+                    f.write(x.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64()), pa.array([first], pa.int64())], names=["file", "n", "first_id"])
+
+    rows = vectors.where("v is not null").select("id", "v").repartitionByRange("id").sortWithinPartitions("id")
+    return table(rows.mapInArrow(run, "file string, n bigint, first_id bigint"), "files")
+
+
 def sniff_format(size: int, d: int, itemsize: int = 4) -> str:
     """``raw`` if so many bytes are whole rows, else ``npy``."""
     return "raw" if size % (d * itemsize) == 0 else "npy"

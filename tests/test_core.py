@@ -1,4 +1,3 @@
-import inspect
 import json
 import random
 
@@ -6,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from longreach import runtime
 from longreach.functions import language_model as lm
 from longreach.functions import seeded
 from longreach.functions import text as X
@@ -197,9 +197,10 @@ def graph(seed, n=90):
     return {i: rnd.sample([j for j in range(n) if group[j] == group[i] and j != i], rnd.randint(0, 6)) for i in range(n)}
 
 
-@pytest.mark.parametrize("seed, one_task", [(1, 10**6), (2, 10**6), (3, 0)])
-def test_walk_and_merge_equal_one_sequential_run(spark, seed, one_task, monkeypatch):
-    monkeypatch.setattr(paths, "ONE_TASK", one_task)
+@pytest.mark.parametrize("seed, chunk", [(1, 10**6), (2, 10**6), (3, 7)])
+def test_walk_and_merge_equal_one_sequential_run(spark, seed, chunk, monkeypatch):
+    monkeypatch.setattr(paths, "CHUNK", chunk)
+    monkeypatch.setattr(runtime, "HOT", 3 if chunk == 7 else 10_000)
     near = graph(seed)
     edges = [(q, r + 2, n) for q, ns in near.items() for r, n in enumerate(ns)] + [(q, 1, q) for q in near] + [(q, 11, 0) for q in near]
     df = spark.createDataFrame(edges, "q bigint, rank int, n bigint")
@@ -221,20 +222,25 @@ def test_chain_of_thirty(spark):
     sizes = lambda w: sorted(r["c"] for r in w.groupBy("cluster_id").agg(F.count("*").alias("c")).collect())
     assert sizes(paths.greedy_walk(edges, ids)) == [8, 22]
     assert sizes(paths.greedy_walk(edges, ids, strict=True)) == [9, 21]
-    cut = paths.clusters(edges, ids, most=10)
-    assert cut.count() == 30 and cut.select("seed").distinct().count() == 3
     assert paths.greedy_walk(edges, ids.limit(0)).count() == 0
 
 
-def test_components_are_walked_whole(spark):
-    assert inspect.signature(paths.clusters).parameters["most"].default is None
-    near = graph(4, 60)
-    edges = spark.createDataFrame([(q, r + 2, n) for q, ns in near.items() for r, n in enumerate(ns)], "q bigint, rank int, n bigint")
-    ids = spark.createDataFrame([(i,) for i in near], "id bigint")
-    got = {}
-    for r in paths.clusters(edges, ids, size=5, most=None).orderBy("seed", "pos").collect():
-        got.setdefault(r["seed"], []).append(r["id"])
-    assert list(got.values()) == naive_walk(near, 5)
+def test_walk_and_merge_of_one_large_component():
+    """Against the plain restatement, over all edges of one component."""
+    rnd = random.Random(4)
+    near = {i: rnd.sample(range(3000), 6) for i in range(3000)}
+    near = {i: [n for n in ns if n != i] for i, ns in near.items()}
+    ids = np.arange(3000) * 7
+    lists = [np.array(ns) * 7 for ns in near.values()]
+    g = paths.Graph(ids, np.concatenate(lists), np.array([len(x) for x in lists]))
+    order, begins = paths.walk(g, 21, True)
+    walked = naive_walk(near)
+    assert [c.tolist() for c in np.split(order, begins[1:])] == walked
+    left, cluster = paths.merge(g, order, begins, 21)
+    merged = {}
+    for d, c in zip(left.tolist(), cluster.tolist()):
+        merged.setdefault(c, []).append(d)
+    assert merged == naive_merge(walked, near)
 
 
 def test_near_dup_filter(spark):
@@ -436,3 +442,54 @@ def test_incremental_run(spark, tmp_path):
         assert sorted(r["id"] for r in spark.read.parquet(sink).collect()) == list(range(k + 1))
     rows, done = spark.createDataFrame([(1,), (2,)], "id int"), spark.createDataFrame([(2,)], "id int")
     assert [r["id"] for r in files.pending(rows, done, "id").collect()] == [1]
+
+
+# ---- model steps, stored index, joins in parts -------------------------------------------------------------------
+def test_model_steps(spark):
+    rows = spark.createDataFrame([(1, 0, "Which guide?", "a, b"), (1, 1, "Who?", None), (1, 2, None, ",x")], "path_id bigint, qa_ord int, question string, answer string")
+    assert [r["label"] for r in qa.label_questions(rows).orderBy("qa_ord").collect()] == ["1", "0", "0"]
+    assert [tuple(r) for r in qa.simplify_answers(rows).select("qa_ord", "answer", "rationale").collect()] == [(0, "a", "a")]
+    items = spark.createDataFrame([(1, "text\nQuestion: who?\nAnswer:", "he"), (2, "no line", "x"), (3, None, None)], "row_id bigint, prompt string, output string")
+    asked = []
+    got = {r["row_id"]: (r["output"], r["dedup_output"]) for r in qa.rewrite_by_model(items).collect()}
+    assert got == {1: ("Reasoning: he", "he"), 2: ("x", None), 3: (None, None)} and not asked
+
+
+def test_neighbours_by_embeddings(spark):
+    rows = spark.createDataFrame([(1, 0, 0, "red wool", "x"), (1, 1, 1, "blue stone", "y"), (1, 1, 2, "red wool", "x"), (1, 2, 3, None, None)], "path_id bigint, doc_pos int, qa_ord int, question string, answer string")
+    got = {r["qa_ord"]: r["crossdoc_ids"] for r in qa.neighbours(rows, 1, lambda: lm.hashed_vectors).collect()}
+    assert got[0] == [2] and got[3] == []
+
+
+def test_stored_index(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    index = ivf.Index(rng.normal(size=(3, 8)), rng.normal(size=(4, 5, 2)))
+    ivf.save(index, spark, str(tmp_path / "i"))
+    again = ivf.load(spark, str(tmp_path / "i"))
+    assert np.array_equal(again.centroids, index.centroids) and np.array_equal(again.books, index.books)
+    with pytest.raises(Exception, match="exist"):
+        ivf.save(index, spark, str(tmp_path / "i"))
+
+
+def test_salted_join_equals_a_plain_one(spark, monkeypatch):
+    rows = spark.createDataFrame([(i % 7 if i % 3 else 0, i) for i in range(300)], "k bigint, x bigint")
+    values = rows.groupBy("k").agg(F.count("*").alias("n"), F.sum("x").alias("s")).where("k <> 5")
+    want = sorted(map(tuple, rows.join(values, "k").select("k", "x", "s").collect()))
+    monkeypatch.setattr(runtime, "PARTS", 8)
+    for hot in (5, 50, 10_000):
+        assert sorted(map(tuple, runtime.salted_join(rows, values, ["k"], ["x"], "n", hot).select("k", "x", "s").collect())) == want
+
+
+def test_short_items(spark):
+    items = spark.createDataFrame([(1, 10), (2, 5), (3, None)], "item_id bigint, n_tokens bigint")
+    drawn = spark.createDataFrame([(1, 95), (2, 5)], "item_id bigint, n_tokens bigint")
+    assert sorted(map(tuple, datasets.short_items(items, drawn, 100).collect())) == [(2, 10), (3, 0)]
+
+
+def test_vectors_written_and_read(spark, tmp_path):
+    rows = [(i, [float(i), 1.0]) for i in range(50)] + [(99, None)]
+    df = spark.createDataFrame(rows, "id bigint, v array<float>")
+    written = sorted(map(tuple, files.write_vectors(df, str(tmp_path / "w")).collect()), key=lambda r: r[2])
+    back = files.read_vectors(spark, [(f, files.sniff_format(n * 8, 2)) for f, n, _ in written], 2)
+    first = {f: i for f, _, i in written}
+    assert sorted((first[r["file"]] + r["row"], r["v"]) for r in back.collect()) == rows[:50]
