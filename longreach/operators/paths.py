@@ -4,7 +4,7 @@ The walk and the merge are sequential by definition, but fall apart over the con
 components are found in parallel, each is walked in one task, and clusters are numbered by their first document, which
 gives the order of one walk over everything. A component of any size is walked whole, with all of its edges: each step
 depends on all steps before it, so that a component is a sequence, not a group that could be split. Its task holds no
-texts and no vectors, only numbers: about 100 bytes a document.
+texts and no vectors, only numbers: about 200 bytes a document, its input included (two million documents: 406 MB, 42 s).
 """
 
 from __future__ import annotations
