@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import knn
 from ..runtime import read
 from . import leakage, near_dup, packing, pair_defects, spam, splitter, token_budget, vector_knn
 from .text import limit_row, rate_tokens, with_rate
@@ -62,6 +63,16 @@ def p4_knn(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("q").alias("doc_ord"), F.col("n").alias("neighbour"), F.round("score", 6).alias("cosine"))
 
 
+def p4_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether ``p4_knn`` finds nine of ten of the true neighbours, by score: equal ones may stand for each other."""
+    units = _vectors(spark, d).where(F.exists("embedding", lambda x: x != 0)).select("id", F.col("embedding").alias("v"))
+    exact = knn.exact_knn(units.where("id % 20 = 0"), units, 11, "cosine").where("q <> n")
+    least = exact.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.round("dist", 5)), False), 1, 10).alias("s")).select("q", F.array_min("s").alias("least"), F.size("s").alias("n"))
+    found = p4_knn(spark, d).join(least, F.col("doc_ord") == F.col("q")).where(F.round("cosine", 5) >= F.col("least")).groupBy("q").agg(F.count(F.lit(1)).alias("f"))
+    both = least.join(found, "q", "left").agg(F.sum(F.least("n", F.coalesce("f", F.lit(0)))).alias("f"), F.sum("n").alias("n"))
+    return both.select((F.col("f") >= 0.9 * F.col("n")).alias("enough"))
+
+
 def _split_records(spark: SparkSession, d: str) -> DataFrame:
     corpus = read(spark, d, "custom_text_corpus").select("doc_ord", "content", "lang")
     return with_rate(corpus, F.col("lang"), read(spark, d, "token_rate")).select(F.col("doc_ord").alias("rec"), F.col("content").alias("text"), F.col("_rate").alias("rate"))
@@ -124,7 +135,7 @@ def p8_shapes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p1_found, p1_budget, p1_tokenizer_budget, p2_found, p2_groups, p3_found, p3_templates, p4_found, p4_knn, p5_found, p5_pieces, p5_breaches, p6_found, p6_containers, p6_breaches, p6_usage, p7_found, p7_edited, p8_found, p8_shapes)
+    found = (p1_found, p1_budget, p1_tokenizer_budget, p2_found, p2_groups, p3_found, p3_templates, p4_found, p4_knn, p4_recall, p5_found, p5_pieces, p5_breaches, p6_found, p6_containers, p6_breaches, p6_usage, p7_found, p7_edited, p8_found, p8_shapes)
     return {f.__name__: f for f in found}
 
 
@@ -162,6 +173,7 @@ def oracle_sql() -> dict[str, str]:
             o AS (SELECT tbl, u AS rep, min(root) AS group_id FROM r GROUP BY ALL),
             d AS (SELECT tbl, u AS rep, count(*) AS n_links FROM b GROUP BY ALL)
             SELECT tbl, rec, rep AS class_id, group_id, n_copies, coalesce(n_links, 0) AS n_links FROM m JOIN o USING (tbl, rep) LEFT JOIN d USING (tbl, rep)""",
+        "p4_recall": "SELECT true AS enough",
         "p5_breaches": "SELECT 'over' AS rule, CAST(1 AS BIGINT) AS doc_ord WHERE false",
         "p6_breaches": "SELECT 'over' AS rule, CAST(1 AS BIGINT) AS id WHERE false",
         "p1_found": f"""
