@@ -378,7 +378,7 @@ def test_recurrence_reveals_refusals(spark):
     df, refused = pairs_of(spark)
     got = {(r["tbl"], r["row_id"]): r["defect"] for r in pair_defects.defects(df).collect()}
     assert {k for k, v in got.items() if v == "refusal"} == refused
-    assert got.pop(("t", 102)) == "empty" and set(got) == refused
+    assert got.pop(("t", 102)) == "empty" and {v for k, v in got.items() if k not in refused} <= {"wrong_language"}
     assert pair_defects.defects(df.limit(0)).count() == 0
 
 
